@@ -6,6 +6,7 @@ sets are one node from the start, so a group of copies costs one row. Two nodes
 1. Inverted lists of the 12 smallest values. Two sets of similarity 0.75 share none of them with a chance below 1e-7.
    A list whose members lie in several components, with at most SMALL members outside its largest one, yields all pairs across
    components. A longer list names a leader, compares it with all members and drops it; components then merge most of the list.
+   SMALL doubles each round, so the rounds grow with the logarithm of the longest list.
 2. Lists that are still long after that (a passage that thousands of otherwise different texts share) hand their members to
    lists of 256 retained values, of which only the rarest are used: sharing m values of which c are needed, two sketches must
    meet in the m-c+1 rarest ones. These lists take as many rounds as they need; no list, pair or row is capped.
@@ -144,8 +145,11 @@ def _relabel(labels: DataFrame, links: DataFrame, stash: Stash) -> DataFrame:
     return stash.keep(labels.join(merged.withColumnRenamed("node", "lab"), "lab", "left").select("node", F.coalesce("root", "lab").alias("lab")))
 
 
-def _resolve(postings: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, stash: Stash, rounds: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Compares what the lists (value, node) ask for; returns the new labels and the lists not done after the given rounds."""
+def _resolve(postings: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, stash: Stash, small: int, rounds: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Compares what the lists (value, node) ask for; returns the new labels and the lists not done after the given rounds.
+
+    small doubles with each round: what no leader could merge is mostly texts that have nothing more to find but must be compared.
+    """
     t = 0
     while True:
         here = stash.keep(postings.join(labels, "node").select("value", "node", "lab"))
@@ -155,9 +159,9 @@ def _resolve(postings: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
         if lists.isEmpty():
             return labels, None
         if rounds is not None and t >= rounds:
-            left = lists.filter(F.col("others") > SMALL).select("value")
+            left = lists.select("value")
             return labels, None if left.isEmpty() else stash.keep(here.join(left, "value").select("value", "node"))
-        few, many = lists.filter(F.col("others") <= SMALL), lists.filter(F.col("others") > SMALL)
+        few, many = lists.filter(F.col("others") <= small), lists.filter(F.col("others") > small)
         outside = stash.keep(here.join(few, "value").filter("lab <> main").select("value", F.col("node").alias("a"), F.col("lab").alias("la"), "main"))
         across = here.join(outside, "value").filter((F.col("lab") != F.col("la")) & ((F.col("lab") == F.col("main")) | (F.col("node") < F.col("a"))))
         long = stash.keep(here.join(many, "value").select("value", "node", "lab"))
@@ -168,6 +172,7 @@ def _resolve(postings: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
         pairs = stash.keep(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
         labels = _relabel(labels, confirmed(pairs, sets, percent, stash), stash)
         postings = stash.keep(long.join(leaders, "value").filter("node <> a").select("value", "node"))
+        small *= 2
         t += 1
 
 
@@ -213,9 +218,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("node", "h2", "text")
     sets = stash.keep(rows.mapInArrow(_full_sets(words), "node long, n long, sketch binary, shingles binary").dropDuplicates(["node"]))
     labels = met.select("node", F.col("node").alias("lab"))
-    labels, left = _resolve(postings, labels, sets, percent, stash, 2)
+    labels, left = _resolve(postings, labels, sets, percent, stash, SMALL, 2)
     if left is not None:
-        labels, _ = _resolve(_wide_postings(left.select("node"), sets, percent, stash), labels, sets, percent, stash, None)
+        labels, _ = _resolve(_wide_postings(left.select("node"), sets, percent, stash), labels, sets, percent, stash, 4 * SMALL, None)
     named = nodes.select("h1", "h2", "doc_id").join(labels.withColumnRenamed("node", "h1"), "h1", "left").withColumn("lab", F.coalesce("lab", "h1"))
     named = stash.keep(named)
     roots = stash.keep(named.groupBy("lab").agg(F.min("doc_id").alias("component_id")))
