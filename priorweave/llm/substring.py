@@ -5,9 +5,9 @@ Streaming all documents past the indexes of all shards would cost the square of
 1. A window's key is the smallest hash of its 6-word runs. Equal windows have equal keys, wherever they stand. Neighbouring
    windows of one key form a segment. Keys that occur once in the corpus are dropped; nothing that repeats is lost.
 2. Segments of the other keys are cut out. Equal segments are one row with their first place before anything is indexed, so a
-   group of copies costs one row, and all windows of the other copies start earlier for certain. A key that occurs HOT times or
-   more, as at the ends of a passage that thousands of documents share, is split: each of its windows becomes a segment whose key
-   is the window's own hash.
+   group of copies costs one row, and all windows of the other copies start earlier for certain. A key of HOT distinct segments or
+   more, as at the ends of a passage that thousands of documents share, would be too much for one shard: its windows are dealt by
+   their own hash instead, where equal ones meet.
 3. A shard holds all distinct segments of its keys, about SHARD_WORDS words. Its FM-index takes all their windows by backward
    search; the interval of a window that occurs again gives its first place, and a window that starts later than that is reported.
 
@@ -91,60 +91,93 @@ def _anchor_documents(window: int):
     return run
 
 
-SEGMENT = "struct<key: long, content: long, start: long, windows: long, words: string>"
-SEGMENT_TYPE = pa.struct([("key", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("words", pa.string())])
+SEGMENT = "struct<key: long, content: long, start: long, windows: long, again: boolean, words: string>"
+SEGMENT_NAMES = ["key", "content", "start", "windows", "again", "words"]
 
 
-def _number(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _spelled(words: list[bytes], starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The words of each span, joined by spaces."""
+    whole = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    return [whole[a:b] for a, b in zip(begin[starts].tolist(), (begin + sizes)[ends - 1].tolist())]
+
+
+def _contents(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, K.U), np.cumsum(hashes * K.powers(K.WORD_BASE, len(hashes)))])
+    back = K.powers(pow(K.WORD_BASE, -1, 1 << 64), len(hashes))
+    return K.mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(K.U))
 
 
 def _cut(window: int):
-    """Adds n_words, and to texts with repeated keys their segments, to the others the digest of the whole."""
+    """Adds n_words, the digest of the whole text, and the segments of repeated keys; texts without any are dropped."""
 
     def run(batches):
         for batch in batches:
-            texts, repeated, hot = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            n_words, digests, segments, kept = [], [], [], []
-            for text, keys, hot_keys in zip(texts, repeated, hot):
-                raw = (text or "").encode()
+            data, offsets = K.string_bytes(batch.column(2))
+            keys = batch.column(3)
+            known_all = keys.flatten().to_numpy().view(K.U)
+            sizes = np.array([len(x) if x.is_valid else 0 for x in keys], np.int64)
+            known_at = np.concatenate([[0], np.cumsum(sizes)])
+            n_words, digests, counts, kept = [], [], [], []
+            columns: list[list] = [[] for _ in range(6)]
+            for i in range(batch.num_rows):
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 words = raw.split()
                 n_words.append(len(words))
-                if not keys or len(words) < window:
-                    digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    segments.append(None)
-                    kept.append(None)
-                    continue
-                data = np.frombuffer(raw, np.uint8)
-                hashes, _, _, _ = K.word_hashes(data, np.array([0, len(data)]), lower=False)
-                own = window_keys(K.run_hash(hashes, GRAM), window)
-                known = np.sort(np.array(keys, np.int64).view(K.U))
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                hit = known[at] == own
-                cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-                total = np.concatenate([np.zeros(1, K.U), np.cumsum(hashes * K.powers(K.WORD_BASE, len(hashes)))])
-                back = K.powers(pow(K.WORD_BASE, -1, 1 << 64), len(hashes))
-                very, rows = {x & (1 << 64) - 1 for x in hot_keys or ()}, []
-                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    if not hit[a]:
-                        continue
-                    key = int(own[a])
-                    for s, e in [(s, s + 1) for s in range(a, b)] if key in very else [(a, b)]:
-                        end = e + window - 1
-                        x = K.mix((total[end : end + 1] - total[s : s + 1]) * back[s : s + 1] + K.U(end - s))
-                        content = int(x[0])
-                        rows.append((_number(content if key in very else key), _number(content), s, e - s, b" ".join(words[s:end]).decode()))
-                digests.append(None)
-                segments.append([dict(zip(("key", "content", "start", "windows", "words"), r)) for r in rows])
-                kept.append(text)
+                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                found = 0
+                if sizes[i] and len(words) >= window:
+                    part = data[offsets[i] : offsets[i + 1]]
+                    hashes, _, _, _ = K.word_hashes(part, np.array([0, len(part)]), lower=False)
+                    grams = K.run_hash(hashes, GRAM)
+                    own = window_keys(grams, window)
+                    known = np.sort(known_all[known_at[i] : known_at[i + 1]])
+                    edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+                    a, b = edge[:-1], edge[1:]
+                    hit = known[np.minimum(np.searchsorted(known, own[a]), len(known) - 1)] == own[a]
+                    a, b = a[hit], b[hit]
+                    found = len(a)
+                    places = np.sort(anchors(grams, window))
+                    twice = places[1:][places[1:] == places[:-1]]
+                    again = np.isin(own[a], twice) if len(twice) else np.zeros(found, bool)
+                    for c, x in zip(columns, (K.signed(own[a]), K.signed(_contents(hashes, a, b + window - 1)), a, b - a, again)):
+                        c.append(x)
+                    columns[5] += _spelled(words, a, b + window - 1)
+                counts.append(found)
+                kept.append(raw if found else None)
+            flat = [pa.array(np.concatenate([*c, np.zeros(0, bool if k == 4 else np.int64)])) for k, c in enumerate(columns[:5])]
+            flat.append(pa.array(columns[5], pa.binary()).cast(pa.string()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays(flat, SEGMENT_NAMES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string()), pa.array(segments, pa.list_(SEGMENT_TYPE))],
+                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), lists],
                 ["id", "text_hash", "n_words", "digest", "text", "segments"],
             )
 
     return run
 
 
+def _windows(window: int):
+    """(id, text_hash, start, windows, words) of a segment -> (id, text_hash, start, content) of each of its windows."""
+
+    def run(batches):
+        for batch in batches:
+            starts, windows = (batch.column(k).to_numpy() for k in (2, 3))
+            data, offsets = K.string_bytes(batch.column(4))
+            at, begins, contents = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, K.U)]
+            for i in range(batch.num_rows):
+                part = data[offsets[i] : offsets[i + 1]]
+                hashes, _, _, _ = K.word_hashes(part, np.array([0, len(part)]), lower=False)
+                a = np.arange(windows[i])
+                at.append(np.full(len(a), i))
+                begins.append(starts[i] + a)
+                contents.append(_contents(hashes, a, a + window))
+            at = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(begins)), pa.array(K.signed(np.concatenate(contents)))], ["id", "text_hash", "start", "content"])
+
+    return run
+
+
 def _search(window: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ids, starts, hashes_of, windows = group["id"].to_numpy(), group["start"].to_numpy(), group["text_hash"].to_numpy(), group["windows"].to_numpy()
@@ -207,25 +240,34 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[Da
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
     counts = rows.select("text").mapInArrow(_anchor_counts(window), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     repeated = stash.keep(counts.filter("n > 1"))
-    met = stash.keep(rows.mapInArrow(_anchor_documents(window), "key long, id long").join(repeated, "key").select("id", "key", (F.col("n") >= HOT).alias("hot")))
-    keys = met.groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot"))
-    cut = rows.join(stash.keep(keys), "id", "left").select("id", F.xxhash64("text").alias("text_hash"), "text", "keys", "hot")
+    met = rows.mapInArrow(_anchor_documents(window), "key long, id long").join(repeated.select("key"), "key")
+    keys = stash.keep(met.groupBy("id").agg(F.collect_list("key").alias("keys")))
+    cut = rows.join(keys, "id", "left").select("id", F.xxhash64("text").alias("text_hash"), "text", "keys")
     cut = stash.keep(cut.mapInArrow(_cut(window), f"id long, text_hash long, n_words long, digest string, text string, segments array<{SEGMENT}>"))
-    each = cut.filter("segments is not null").select("id", "text_hash", F.explode("segments").alias("s")).select("id", "text_hash", "s.*")
+    each = cut.select("id", "text_hash", F.explode("segments").alias("s")).select("id", "text_hash", "s.*")
     first = F.min(F.struct("id", "start", "text_hash")).alias("first")
-    distinct = each.groupBy("key", "content").agg(first, F.first("windows").alias("windows"), F.first("words").alias("words"))
-    distinct = stash.keep(distinct.select("key", "content", "first.*", "windows", "words"))
-    size = distinct.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
-    shards = -(-size // SHARD_WORDS) or 1
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    within = dealt.select("shard", "id", "text_hash", "start", "windows", "words").groupBy("shard").applyInPandas(_search(window), "id long, text_hash long, a long, b long")
+    distinct = each.groupBy("key", "content").agg(first, F.max("again").alias("again"), F.first("windows").alias("windows"), F.first("words").alias("words"))
+    distinct = stash.keep(distinct.select("key", "content", "first.*", "again", "windows", "words"))
     firsts = distinct.select("key", "content", F.col("id").alias("first_id"), F.col("start").alias("first_start"))
     copies = each.select("id", "text_hash", "start", "windows", "key", "content").join(firsts, ["key", "content"])
-    copies = copies.filter("id <> first_id or start <> first_start").select("id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1).alias("b"))
-    spans = stash.keep(within).union(stash.keep(copies)).groupBy("id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    some = cut.filter("segments is not null").select("id", "text_hash", "n_words", "text").join(stash.keep(spans), ["id", "text_hash"], "left")
+    later = F.expr("id <> first_id or start <> first_start")
+    spans = [copies.filter(later).select("id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1).alias("b"))]
+    kinds = stash.keep(distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.max("again").alias("again")).filter("kinds > 1 or again").select("key", "kinds"))
+    several = distinct.select("key", "id", "text_hash", "start", "windows", "words").join(kinds, "key")
+    several = stash.keep(several)
+    size = several.filter(F.col("kinds") < HOT).agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
+    dealt = several.filter(F.col("kinds") < HOT).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(-(-size // SHARD_WORDS) or 1)))
+    spans.append(dealt.select("shard", "id", "text_hash", "start", "windows", "words").groupBy("shard").applyInPandas(_search(window), "id long, text_hash long, a long, b long"))
+    single = several.filter(F.col("kinds") >= HOT).select("id", "text_hash", "start", "windows", "words")
+    single = stash.keep(single.mapInArrow(_windows(window), "id long, text_hash long, start long, content long"))
+    earliest = stash.keep(single.groupBy("content").agg(F.min(F.struct("id", "start")).alias("first")).select("content", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")))
+    spans.append(single.join(earliest, "content").filter(later).select("id", "text_hash", F.col("start").alias("a"), F.col("start").alias("b")))
+    spans = stash.keep(stash.keep(spans[0].union(spans[1]).union(spans[2])).groupBy("id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    touched = spans.select("id", "text_hash", F.lit(True).alias("touched"))
+    none = cut.select("id", "text_hash", "n_words", "digest").join(touched, ["id", "text_hash"], "left").filter("touched is null")
+    some = cut.select("id", "text_hash", "n_words", "text").filter("text is not null").join(spans, ["id", "text_hash"])
     some = some.mapInArrow(_removed(window), "id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return cut.filter("segments is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256")), some
+    return none.select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256")), some
 
 
 def _named(column: str = "id"):
