@@ -18,6 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+BATCH_BYTES = 8 << 20
+
+
 class Stash:
     """Tables of one operator call: written as Parquet, so that lost executors cost no recomputation, and read again."""
 
@@ -34,5 +37,6 @@ class Stash:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Small Arrow batches: a batch of very long texts must fit in a Python worker."""
+    """Small Arrow batches: a batch of very long texts, or of index rows, must fit in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
