@@ -136,6 +136,20 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, margin double")
 
 
+def recognised(docs: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has letters and a score of at least `least`, with their own columns."""
+    arrow_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            found = [shared.value.identify(x) for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([x[0] != "und" and x[1] >= least for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, learn(docs))

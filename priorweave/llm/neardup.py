@@ -251,5 +251,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return full.union(bare).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component; of rows equal in id and text one stays."""
+    stash = Stash(docs.sparkSession, "neardup")
+    ids = stash.keep(near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct())
+    rows = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    kept = rows.join(ids, F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["_key", "_hash"]).select(docs.columns)
+
+
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
