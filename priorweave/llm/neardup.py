@@ -8,7 +8,7 @@ sets are one node from the start, so a group of copies costs one row. Two nodes
    lie in several components, with at most SMALL members outside its largest one, makes all pairs across components; SMALL doubles
    with each round, so the rounds grow with the logarithm of the longest list.
 2. Members of lists that are still long after that (a passage that thousands of otherwise different texts share) go to lists of
-   256 retained values, of which only the rarest are used: sharing m values of which c are needed, two sketches must meet in the
+   128 retained values, of which only the rarest are used: sharing m values of which c are needed, two sketches must meet in the
    m-c+1 rarest ones. A text that has most of its values for itself is in no such list.
 3. What is left are large groups of near copies. Their lists hold the rarest of all values of each set. How many of its values any
    other set has bounds each pair's similarity, which rules out the pairs of much edited copies before they are made.
@@ -33,10 +33,10 @@ from .components import components
 from .storage import Stash, arrow_batches
 
 RETAINED = 12
-WIDE = 256
-WIDE_OVERLAP = 154
+WIDE = 128
+WIDE_OVERLAP = 69
 ESTIMATE = 64
-SMALL = 16
+SMALL = 4
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[list[np.ndarray]]:

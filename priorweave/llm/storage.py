@@ -32,7 +32,9 @@ class Stash:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
+        # the driver's collector is what tells executors to delete the shuffle files of finished steps
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
 
