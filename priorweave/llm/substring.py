@@ -110,7 +110,7 @@ def _contents(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def _cut(window: int):
-    """Adds n_words, the digest of the whole text, and the segments of repeated keys; texts without any are dropped."""
+    """(id, text_hash, text, keys) -> n_words, the digest of the whole text, and the segments of repeated keys."""
 
     def run(batches):
         for batch in batches:
@@ -119,7 +119,7 @@ def _cut(window: int):
             known_all = keys.flatten().to_numpy().view(K.U)
             sizes = np.array([len(x) if x.is_valid else 0 for x in keys], np.int64)
             known_at = np.concatenate([[0], np.cumsum(sizes)])
-            n_words, digests, counts, kept = [], [], [], []
+            n_words, digests, counts = [], [], []
             columns: list[list] = [[] for _ in range(6)]
             for i in range(batch.num_rows):
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
@@ -145,13 +145,12 @@ def _cut(window: int):
                         c.append(x)
                     columns[5] += _spelled(words, a, b + window - 1)
                 counts.append(found)
-                kept.append(raw if found else None)
             flat = [pa.array(np.concatenate([*c, np.zeros(0, bool if k == 4 else np.int64)])) for k, c in enumerate(columns[:5])]
             flat.append(pa.array(columns[5], pa.binary()).cast(pa.string()))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays(flat, SEGMENT_NAMES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), lists],
-                ["id", "text_hash", "n_words", "digest", "text", "segments"],
+                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(digests, pa.string()), lists],
+                ["id", "text_hash", "n_words", "digest", "segments"],
             )
 
     return run
@@ -211,9 +210,10 @@ def _search(window: int):
 def _removed(window: int):
     def run(batches):
         for batch in batches:
-            out, digests, texts = [], [], []
-            for text, spans in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            sizes, out, digests, texts = [], [], [], []
+            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = text.encode().split()
+                sizes.append(len(words))
                 change = np.zeros(len(words) + 1, np.int64)
                 for s in spans or ():
                     change[s["a"]] += 1
@@ -223,9 +223,9 @@ def _removed(window: int):
                 out.append(len(words) - len(left))
                 whole = b" ".join(left)
                 digests.append(hashlib.sha256(whole).hexdigest())
-                texts.append(whole.decode() if spans else text)
+                texts.append(whole.decode())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(out, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["id", "text_hash", "n_words", "n_removed", "kept_sha256", "kept"]
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(out, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["id", "text_hash", "n_words", "n_removed", "kept_sha256", "kept"]
             )
 
     return run
@@ -243,7 +243,7 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[Da
     met = rows.mapInArrow(_anchor_documents(window), "key long, id long").join(repeated.select("key"), "key")
     keys = stash.keep(met.groupBy("id").agg(F.collect_list("key").alias("keys")))
     cut = rows.join(keys, "id", "left").select("id", F.xxhash64("text").alias("text_hash"), "text", "keys")
-    cut = stash.keep(cut.mapInArrow(_cut(window), f"id long, text_hash long, n_words long, digest string, text string, segments array<{SEGMENT}>"))
+    cut = stash.keep(cut.mapInArrow(_cut(window), f"id long, text_hash long, n_words long, digest string, segments array<{SEGMENT}>"))
     each = cut.select("id", "text_hash", F.explode("segments").alias("s")).select("id", "text_hash", "s.*")
     first = F.min(F.struct("id", "start", "text_hash")).alias("first")
     distinct = each.groupBy("key", "content").agg(first, F.max("again").alias("again"), F.first("windows").alias("windows"), F.first("words").alias("words"))
@@ -265,7 +265,7 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[Da
     spans = stash.keep(stash.keep(spans[0].union(spans[1]).union(spans[2])).groupBy("id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     touched = spans.select("id", "text_hash", F.lit(True).alias("touched"))
     none = cut.select("id", "text_hash", "n_words", "digest").join(touched, ["id", "text_hash"], "left").filter("touched is null")
-    some = cut.select("id", "text_hash", "n_words", "text").filter("text is not null").join(spans, ["id", "text_hash"])
+    some = rows.select("id", F.xxhash64("text").alias("text_hash"), "text").join(spans, ["id", "text_hash"])
     some = some.mapInArrow(_removed(window), "id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string")
     return none.select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256")), some
 
