@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,14 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_memory: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader touches the path, so it may be in any store."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder: computed once, whatever executors are lost, and a short plan for what follows.
+
+    The folder is spark.checkpoint.dir of the session; a local one is set only where that is unset, as in tests.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="priorweave-"))
+    return df.checkpoint()
