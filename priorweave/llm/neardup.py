@@ -4,14 +4,13 @@ One 64-bit hash orders the 5-word shingles of a document; its k smallest values
 sets are one node from the start, so a group of copies costs one row. Two nodes are compared when they share a retained value:
 
 1. Inverted lists of the 12 smallest values. Two sets of similarity 0.75 share none of them with a chance below 1e-7.
-   A list names a leader and compares it with all members; components then merge most of the list. Next, a list whose members still
-   lie in several components, with at most SMALL members outside its largest one, makes all pairs across components; SMALL doubles
-   with each round, so the rounds grow with the logarithm of the longest list.
-2. Members of lists that are still long after that (a passage that thousands of otherwise different texts share) go to lists of
-   128 retained values, of which only the rarest are used: sharing m values of which c are needed, two sketches must meet in the
-   m-c+1 rarest ones. A text that has most of its values for itself is in no such list.
-3. What is left are large groups of near copies. Their lists hold the rarest of all values of each set. How many of its values any
-   other set has bounds each pair's similarity, which rules out the pairs of much edited copies before they are made.
+   A list names a leader and compares it with all members; components then merge most of the list. Next, short lists whose members
+   still lie in several components make all pairs across them.
+2. Members of longer lists (a passage that thousands of otherwise different texts share) go to lists of 128 retained values, of
+   which only the rarest are used: sharing m values of which c are needed, two sketches must meet in the m-c+1 rarest ones. A text
+   that has most of its values for itself is in no such list.
+3. What is left are large groups of near copies. Their lists hold the rarest of all values of each set, and where a set stands in the
+   order of rarity bounds what a pair can share, which rules out the pairs of much edited copies before they are made.
 
 No list, pair or row is capped.
 
@@ -149,47 +148,56 @@ def _relabel(labels: DataFrame, links: DataFrame, stash: Stash) -> DataFrame:
     return stash.keep(labels.join(merged.withColumnRenamed("node", "lab"), "lab", "left").select("node", F.coalesce("root", "lab").alias("lab")))
 
 
-def _resolve(postings: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, stash: Stash, rounds: int | None, faster: int = 2) -> tuple[DataFrame, DataFrame | None]:
-    """Compares what the lists (value, node, met, size) ask for; returns the new labels and the lists not done after some rounds.
+STATE = ["node", "own", "rest", "needed", "size"]
 
-    met: how many of a node's values any other node has; null where that is unknown. Two sets can share min(met) values at most, which
-    rules out most pairs of a long list before they are made, and the node with the fewest values of its own is the list's leader.
-    The first round compares with leaders only. From then on a list of few components makes all pairs across them, and what few
-    means grows by a factor with each round.
+
+def _resolve(postings: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, stash: Stash, rounds: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Compares what the lists (value, node, own, rest, needed, size) ask for; returns the labels and the lists left after the rounds.
+
+    own: how many of a node's values no other node has. rest: how many values it has from this list's on, in the order of rarity;
+    needed: how many a similar set must share; size: the whole set's, null where only a sketch is in the lists. A pair meets first in
+    the list of its rarest common value, so it can share no more than the smaller rest: most pairs of a long list fail that before
+    they are made. All four are null where the lists have no such order.
+
+    The first round compares with leaders only, those with the fewest own values. From then on lists of few components make all
+    pairs across them, and what few means grows with each round; without an order only short lists do.
     """
     t, small = 0, 0
-    may = F.least("met", "met_a")
-    close = F.col("met").isNull() | (100 * may >= percent * (F.col("size") + F.col("size_a") - may))
+    may = F.least("rest", "rest_a")
+    exact = F.col("size").isNull() | F.col("size_a").isNull() | (100 * may >= percent * (F.col("size") + F.col("size_a") - may))
+    close = F.col("rest").isNull() | ((may >= F.greatest("needed", "needed_a")) & exact)
     while True:
-        here = stash.keep(postings.join(labels, "node").select("value", "node", "lab", "met", "size"))
-        parts = here.groupBy("value", "lab").agg(F.count("*").alias("c"))
-        lists = parts.groupBy("value").agg(F.max(F.struct("c", "lab")).alias("most"), F.sum("c").alias("m"))
-        lists = stash.keep(lists.select("value", F.col("most.lab").alias("main"), (F.col("m") - F.col("most.c")).alias("others")).filter("others > 0"))
+        here = stash.keep(postings.join(labels, "node").select("value", "lab", *STATE))
+        parts = here.groupBy("value", "lab").agg(F.count("*").alias("c"), F.max("rest").alias("rest"))
+        lists = parts.groupBy("value").agg(F.max(F.struct("c", "lab")).alias("most"), F.sum("c").alias("m"), F.max("rest").alias("rest"))
+        others = F.col("m") - F.col("most.c")
+        lists = lists.select("value", F.col("most.lab").alias("main"), others.alias("others"), F.when(F.col("rest").isNull(), F.col("m")).otherwise(others).alias("length"))
+        lists = stash.keep(lists.filter("others > 0"))
         if lists.isEmpty():
             return labels, None
         if rounds is not None and t >= rounds:
             return labels, stash.keep(here.join(lists.select("value"), "value").select("value", "node"))
-        few, many = lists.filter(F.col("others") <= small), lists.filter(F.col("others") > small)
-        as_a = [F.col("node").alias("a"), F.col("lab").alias("la"), F.col("met").alias("met_a"), F.col("size").alias("size_a")]
-        outside = stash.keep(here.join(few, "value").filter("lab <> main").select("value", *as_a, "main"))
-        across = here.join(outside, "value").filter((F.col("lab") != F.col("la")) & ((F.col("lab") == F.col("main")) | (F.col("node") < F.col("a"))) & close)
-        long = stash.keep(here.join(many, "value").select("value", "node", "lab", "met", "size"))
-        first = F.min(F.struct((F.col("size") - F.col("met")).alias("own"), F.xxhash64("node", F.lit(t)).alias("h"), "node", "lab", "met", "size")).alias("first")
+        few, many = lists.filter(F.col("length") <= small), lists.filter(F.col("length") > small)
+        as_a = [F.col("lab").alias("la"), *(F.col(c).alias(f"{c}_a") for c in STATE)]
+        outside = stash.keep(here.join(few, "value").filter("lab <> main").select("value", "main", *as_a))
+        across = here.join(outside, "value").filter((F.col("lab") != F.col("la")) & ((F.col("lab") == F.col("main")) | (F.col("node") < F.col("node_a"))) & close)
+        long = stash.keep(here.join(many, "value").select("value", "lab", *STATE))
+        first = F.min(F.struct("own", F.xxhash64("node", F.lit(t)).alias("h"), "node", "lab", "rest", "needed", "size")).alias("first")
         leaders = long.groupBy("value").agg(first).select("value", "first.*")
         leaders = stash.keep(leaders.select("value", *as_a))
         led = long.join(leaders, "value").filter((F.col("lab") != F.col("la")) & close)
-        pairs = across.select("a", "node").union(led.select("a", "node"))
-        pairs = stash.keep(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+        pairs = across.select("node_a", "node").union(led.select("node_a", "node"))
+        pairs = stash.keep(pairs.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct())
         labels = _relabel(labels, confirmed(pairs, sets, percent, stash), stash)
-        postings = stash.keep(long.join(leaders.select("value", "a"), "value").filter("node <> a").select("value", "node", "met", "size"))
-        small = faster * small or SMALL
+        postings = stash.keep(long.join(leaders.select("value", "node_a"), "value").filter("node <> node_a").select("value", *STATE))
+        small = 16 * small or 2 * SMALL
         t += 1
 
 
 def _rare_postings(nodes: DataFrame, sets: DataFrame, percent: int, stash: Stash, wide: int | None) -> DataFrame:
-    """(value, node, met, size) for the rarest retained values of each node, as many as a similar set must meet.
+    """(value, node, own, rest, needed, size) for the rarest retained values of each node, as many as a similar set must meet.
 
-    Retained are the `wide` smallest values or, if None, all; met is null for a node of which not all are retained.
+    Retained are the `wide` smallest values or, if None, all.
     """
 
     def unpack(batches):
@@ -204,11 +212,12 @@ def _rare_postings(nodes: DataFrame, sets: DataFrame, percent: int, stash: Stash
     kept, needed = F.col("n"), F.ceil(F.col("n") * percent / 100)
     if wide is not None:
         kept, needed = F.least(kept, F.lit(wide)), F.least(needed, F.lit(WIDE_OVERLAP))
-    met = F.size("common").cast("long")
-    take = F.greatest(kept - needed + 1 - (kept - met), F.lit(0)).cast("int")
+    own = kept - F.size("common")
+    take = F.greatest(kept - needed + 1 - own, F.lit(0)).cast("int")
     out = rows.select("node", "n").join(stash.keep(ranked), "node")
-    out = out.select("node", F.when(F.col("n") == kept, met).alias("met"), F.col("n").alias("size"), F.explode(F.slice("common", F.lit(1), take)).alias("x"))
-    return stash.keep(out.select("x.value", "node", "met", "size"))
+    size = F.when(F.col("n") == kept, F.col("n"))
+    out = out.select("node", own.alias("own"), kept.alias("kept"), needed.alias("needed"), size.alias("size"), F.posexplode(F.slice("common", F.lit(1), take)).alias("at", "x"))
+    return stash.keep(out.select("x.value", "node", "own", (F.col("kept") - F.col("own") - F.col("at")).alias("rest"), "needed", "size"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -231,17 +240,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = stash.keep(nodes.select(F.col("h1").alias("node"), F.explode("low").alias("value")))
     shared = stash.keep(each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value"))
     unknown = F.lit(None).cast("long")
-    postings = stash.keep(each.join(shared, "value").select("value", "node", unknown.alias("met"), unknown.alias("size")))
+    postings = stash.keep(each.join(shared, "value").select("value", "node", *(unknown.alias(c) for c in STATE[1:])))
     met = stash.keep(postings.select("node").distinct())
     wanted = stash.keep(nodes.join(met, nodes.h1 == met.node).select("node", "h2", "doc_id"))
     rows = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("node", "h2", "text")
     sets = stash.keep(rows.mapInArrow(_full_sets(words), "node long, n long, sketch binary, shingles binary").dropDuplicates(["node"]))
     labels = met.select("node", F.col("node").alias("lab"))
     labels, left = _resolve(postings, labels, sets, percent, stash, 2)
-    for wide, rounds, faster in ((WIDE, 1, 2), (None, None, 16)):
+    for wide, rounds in ((WIDE, 1), (None, None)):
         if left is not None:
             lists = _rare_postings(left.select("node"), sets, percent, stash, wide)
-            labels, left = _resolve(lists, labels, sets, percent, stash, rounds, faster)
+            labels, left = _resolve(lists, labels, sets, percent, stash, rounds)
     named = nodes.select("h1", "h2", "doc_id").join(labels.withColumnRenamed("node", "h1"), "h1", "left").withColumn("lab", F.coalesce("lab", "h1"))
     named = stash.keep(named)
     roots = stash.keep(named.groupBy("lab").agg(F.min("doc_id").alias("component_id")))
