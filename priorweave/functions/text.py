@@ -20,7 +20,7 @@ def key_of(utterance: Column, acts: Column) -> Column:
 
 def first_words(t: Column, k: int) -> Column:
     """The first k white-space separated words."""
-    return F.array_join(F.slice(F.split(F.trim(t), r"\s+"), 1, k), " ")
+    return F.array_join(F.slice(F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " "), 1, k), " ")
 
 
 def strip_tags(t: Column) -> Column:

@@ -31,7 +31,7 @@ def first_words(spark, sf):
 
 @query("html_clean", """with a as (select page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') as h from pages),
     b as (select page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') as t from a)
-    select page_id, array_to_string(list_slice(regexp_split_to_array(lower(trim('page . ' || t)), '\\s+'), 1, 200), ' ') as text from b""")
+    select page_id, array_to_string(list_slice(regexp_split_to_array(trim(regexp_replace(lower('page . ' || t), '\\s+', ' ', 'g')), ' '), 1, 200), ' ') as text from b""")
 def html_clean(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.clean_html(F.lit("page"), F.col("html")).alias("text"))
 

@@ -32,7 +32,7 @@ def read_pairs_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     f = F.split("value", "\t", 3)
     ids = lambda i: F.filter(F.split(F.coalesce(F.get(f, F.lit(i)), F.lit("")), " "), lambda x: x != "")
     rows = spark.read.text(path).select(F.get(f, F.lit(0)).cast("long").alias("q"), ids(1).alias("s"), ids(2).alias("c"))
-    similar = rows.select("q", F.explode("s").cast("long").alias("similar"))
+    similar = rows.select("q", F.explode(F.col("s").cast("array<long>")).alias("similar"))
     return similar, rows.select("q", F.posexplode("c").alias("place", "candidate")).withColumn("candidate", F.col("candidate").cast("long"))
 
 
