@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 QUERY_BLOCK = 4096
+DOC_BLOCK = 512
 
 
-def score_table(vectors: DataFrame, queries: DataFrame, k: int, linked: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """vectors (pos, v, and scope if rows of one scope only may meet); queries (pos); linked (node)."""
+def score_table(vectors: DataFrame, queries: DataFrame, k: int, linked: DataFrame | None = None, block: int = QUERY_BLOCK, query_vectors: DataFrame | None = None) -> DataFrame:
+    """vectors (pos, v, and scope if rows of one scope only may meet); queries (pos); linked (node);
+    query_vectors, if the queries are not among vectors."""
     spark = vectors.sparkSession
     scoped = "scope" in vectors.columns
     docs = vectors.select("pos", "v", *(["scope"] if scoped else []))
     docs = docs.join(linked.select(F.col("node").alias("pos"), F.lit(True).alias("linked")), "pos", "left") if linked is not None else docs.withColumn("linked", F.lit(None).cast("boolean"))
-    asked = vectors.join(queries.select("pos"), "pos", "left_semi").select("pos", "v", *(["scope"] if scoped else []))
+    asked = (query_vectors or vectors).join(queries.select("pos"), "pos", "left_semi").select("pos", "v", *(["scope"] if scoped else []))
     n = queries.count()
     out = None
     for b in range(max(1, -(-n // block))):
@@ -34,28 +36,29 @@ def score_table(vectors: DataFrame, queries: DataFrame, k: int, linked: DataFram
 
         def run(batches, shared=shared):
             qpos, qv, qs = shared.value
-            best = [np.zeros((0, 2))] * len(qpos)
-            for batch in batches:
-                pos = batch.column("pos").to_numpy()
-                v = np.stack(batch.column("v").to_pylist()).astype(np.float64)
-                is_linked = np.array([bool(x) for x in batch.column("linked").to_pylist()])
-                ds = np.array(batch.column("scope").to_pylist()) if qs is not None else None
-                s = np.round(qv @ v.T, 6)
-                ok = pos[None, :] < qpos[:, None]
-                if ds is not None:
-                    ok &= qs[:, None] == ds[None, :]
-                i, j = np.nonzero(ok & is_linked[None, :])
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(qpos[i]), pa.array(pos[j]), pa.array(s[i, j])], ["q", "d", "own"])
-                free = ok & ~is_linked[None, :]
-                for r in np.flatnonzero(free.any(axis=1)):
-                    c = np.flatnonzero(free[r])
-                    both = np.concatenate([best[r], np.stack([s[r, c], pos[c].astype(float)], 1)])
-                    best[r] = both[np.lexsort((both[:, 1], -both[:, 0]))[:k]]
-            sizes = [len(x) for x in best]
-            if sum(sizes):
-                flat = np.concatenate(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qpos, sizes)), pa.array(flat[:, 1].astype(np.int64)), pa.array(flat[:, 0])], ["q", "d", "own"])
+            best, where = np.full((len(qpos), k), -np.inf), np.full((len(qpos), k), np.iinfo(np.int64).max)
+            for whole in batches:
+                for batch in (whole.slice(i, DOC_BLOCK) for i in range(0, whole.num_rows, DOC_BLOCK)):
+                    pos = batch.column("pos").to_numpy()
+                    v = np.stack(batch.column("v").to_pylist()).astype(np.float64)
+                    is_linked = np.array([bool(x) for x in batch.column("linked").to_pylist()])
+                    s = np.round(qv @ v.T, 6)
+                    ok = pos[None, :] < qpos[:, None]
+                    if qs is not None:
+                        ok &= qs[:, None] == np.array(batch.column("scope").to_pylist())[None, :]
+                    i, j = np.nonzero(ok & is_linked[None, :])
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(qpos[i]), pa.array(pos[j]), pa.array(s[i, j])], ["q", "d", "own"])
+                    s[~ok | is_linked[None, :]] = -np.inf
+                    better = np.flatnonzero((s >= best.min(axis=1)[:, None]).any(axis=1) & (s > -np.inf).any(axis=1))
+                    if len(better):
+                        both = np.concatenate([best[better], s[better]], axis=1)
+                        places = np.concatenate([where[better], np.broadcast_to(pos, (len(better), len(pos)))], axis=1)
+                        top = np.lexsort((places, -both), axis=1)[:, :k]
+                        best[better], where[better] = np.take_along_axis(both, top, 1), np.take_along_axis(places, top, 1)
+            i, j = np.nonzero(best > -np.inf)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(qpos[i]), pa.array(where[i, j]), pa.array(best[i, j])], ["q", "d", "own"])
 
         got = docs.mapInArrow(run, "q long, d long, own double")
         out = got if out is None else out.union(got)

@@ -300,8 +300,7 @@ def network_curve_participants(spark, sf):
     docs = x.corpus.withColumn("app", draw("app", F.col("pos").cast("string")) % 10)
     out = None
     for k in (1, 3, 10):
-        part = docs.filter(F.col("app") < k).select("pos", "v").union(docs.join(x.labelled, "pos", "left_semi").filter(F.col("app") >= k).select("pos", "v"))
-        own = R.score_table(part, x.labelled, 10_000).join(docs.filter(F.col("app") < k).select(F.col("pos").alias("d")), "d", "left_semi")
+        own = R.score_table(docs.filter(F.col("app") < k), x.labelled, 5, query_vectors=x.corpus)
         hit = R.top_k(own.withColumnRenamed("own", "score"), 5).join(x.gold, ["q", "d"]).agg(F.countDistinct("q").alias("hits")).select(F.lit(k).alias("k"), "hits")
         out = hit if out is None else out.union(hit)
     return out.withColumn("marginal", F.col("hits") - F.coalesce(F.lag("hits").over(Window.orderBy("k")), F.lit(0)))
