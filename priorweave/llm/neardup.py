@@ -36,6 +36,8 @@ WIDE = 128
 WIDE_OVERLAP = 69
 ESTIMATE = 64
 SMALL = 4
+#: So many pairs of numbers are 4 MB; beyond that pairs and sets are shuffled.
+BROADCAST_PAIRS = 250_000
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
@@ -130,12 +132,23 @@ def _close(percent: int, k: int | None):
     return run
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, column: str, few: bool) -> DataFrame:
+    """(a, b, x, y): the pairs with that column of both nodes. Few pairs are sent to where the sets are; only sets of pairs travel."""
+    if few:
+        pairs = F.broadcast(pairs)
+        x = sets.join(pairs.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), "b", F.col(column).alias("x"))
+        y = sets.join(pairs.withColumnRenamed("b", "node"), "node").select("a", F.col("node").alias("b"), F.col(column).alias("y"))
+        return x.join(y, ["a", "b"])
+    x = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, stash: Stash) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     for column, k in (("sketch", ESTIMATE), ("shingles", None)):
-        x = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col(column).alias("y"))
-        pairs = stash.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_close(percent, k), "a long, b long"))
+        both = _with_sets(pairs, sets, column, pairs.count() <= BROADCAST_PAIRS)
+        pairs = stash.keep(both.mapInArrow(_close(percent, k), "a long, b long"))
     return pairs
 
 
