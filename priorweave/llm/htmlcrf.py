@@ -332,8 +332,14 @@ def train(pages: list[str], variants: int = 3, seed: int = 0) -> Field:
 
 def learn(pages: DataFrame, html_col: str = "html", url_col: str = "url", sample: int = SAMPLE_PAGES) -> Field:
     """A field from at most `sample` pages that mark their article, those of the smallest hashes."""
-    marked = pages.select(F.col(html_col).cast("string").alias("html"), F.xxhash64(html_col).alias("h")).filter(F.col("html").rlike("(?i)<(article|main)\\b|role=[\"']?main|itemprop=[\"']?articleBody"))
-    return train([r["html"] for r in marked.orderBy("h").limit(sample).select("html").collect()])
+    marks = "(?i)<(article|main)\\b|role=[\"']?main|itemprop=[\"']?articleBody"
+    marked = pages.select(F.col(html_col).cast("string").alias("html"), F.xxhash64(html_col).alias("h")).filter(F.col("html").rlike(marks))
+    # only hashes are ranked; the pages that come to the driver are those of the chosen hashes, one for each
+    chosen = [r["h"] for r in marked.select("h").distinct().orderBy("h").limit(sample).collect()]
+    if not chosen:
+        return train([])
+    found = marked.filter(F.col("h") <= chosen[-1]).groupBy("h").agg(F.first("html").alias("html"))
+    return train([r["html"] for r in sorted(found.collect(), key=lambda r: r["h"])])
 
 
 def extract(pages: DataFrame, field: Field, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
