@@ -52,6 +52,11 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(source, F.lit("")).alias("source"), source.isNull().alias("no_source"), word_count(text).alias("size"), key.alias("key"))
 
 
+def bucket(key: Column, buckets: Column) -> Column:
+    """The range of a 53-bit key among so many; divided first, as key times buckets passes 63 bits from 1,025 buckets on."""
+    return F.floor(key / F.lit(float(1 << 53)) * buckets)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target and taken of each row, with text_hash, source and no_source to find the row again.
 
@@ -63,8 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     by = ["source", "no_source"]
     sizes = rows.groupBy(*by).agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goals = stash.keep(targets(sizes, share, epochs, weights).select(*by, "source_size", "target", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"), F.floor("target").alias("budget")))
-    bucket = F.floor(F.col("key") * F.col("buckets") / F.lit(float(1 << 53)))
-    dealt = stash.keep(rows.join(goals, by).withColumn("bucket", bucket))
+    dealt = stash.keep(rows.join(goals, by).withColumn("bucket", bucket(F.col("key"), F.col("buckets"))))
     sums = dealt.groupBy(*by, "bucket").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select(*by, "bucket", F.coalesce(upto, F.lit(0)).alias("offset"))
