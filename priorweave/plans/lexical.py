@@ -42,6 +42,18 @@ f10 as (select q, d, score, row_number() over (partition by q order by score des
 g as (select b.q, d.pos as d from b join d on contains(d.text, b.text) and length(b.text) > 0)
 """
 
+#: Rows of each list that are fused, and of the fused list that are evaluated.
+DEPTH = 100
+DEEP = (
+    BASE
+    + f""", b100 as (select q, d, score, row_number() over (partition by q order by score desc, d) as rank from bs qualify rank <= {DEPTH}),
+t100 as (select q, d, score, row_number() over (partition by q order by score desc, d) as rank from ts qualify rank <= {DEPTH}),
+fd as (select q, d, round(sum(1 / (60 + rank)), 9) as score from (select q, d, rank from b100 union all select q, d, rank from t100) group by 1, 2),
+f100 as (select q, d, score, row_number() over (partition by q order by score desc, d) as rank from fd qualify rank <= {DEPTH}),
+l as (select 'bm25' as method, * from b100 union all select 'tfidf', * from t100 union all select 'rrf', * from f100)
+"""
+)
+
 _kept: dict = {}
 
 
@@ -60,11 +72,14 @@ class Lexicon:
         self.query_terms = self.bench.select("q", F.explode(X.words(F.col("text"))).alias("term")).distinct()
         self.query_post = R.postings(self.bench, terms(F.col("text")), "q")
         self.prefix = F.col("d") < self.e0
-        self.bm25 = cut(R.top_k(R.lexical_scores(R.bm25_index(self.post, self.sizes, self.prefix), self.query_terms), 10))
+        self.bm25_deep = cut(R.top_k(R.lexical_scores(R.bm25_index(self.post, self.sizes, self.prefix), self.query_terms), DEPTH))
+        self.bm25 = self.bm25_deep.filter("rank <= 10")
         total = spark.range(1).select(F.lit(self.e0).alias("n0"))
         weights = R.tfidf_weights(self.post.union(self.query_post), total, self.prefix)
-        self.tfidf = cut(R.top_k(R.cosine_scores(weights, self.bench.select("q")).filter(F.col("d") < n), 10))
+        self.tfidf_deep = cut(R.top_k(R.cosine_scores(weights, self.bench.select("q")).filter(F.col("d") < n), DEPTH))
+        self.tfidf = self.tfidf_deep.filter("rank <= 10")
         self.fused = R.top_k(R.rrf([self.bm25, self.tfidf]), 10)
+        self.fused_deep = R.top_k(R.rrf([self.bm25_deep, self.tfidf_deep], cut=DEPTH), DEPTH)
         # containment has no equality to join on; the passages are the small, fixed side
         self.gold = cut(self.docs.join(self.bench.withColumnRenamed("text", "t"), F.contains("text", "t") & (F.length("t") > 0)).select("q", F.col("pos").alias("d")))
 
@@ -107,11 +122,33 @@ def hybrid_interleave(spark, sf):
     return R.interleave(x.bm25.filter("rank <= 5"), x.tfidf.filter("rank <= 5"))
 
 
+@query("rrf_hybrid_deep", DEEP + "select q, rank, d, score from f100 where rank <= 10")
+def rrf_hybrid_deep(spark, sf):
+    """The ten best of the first 100 of each list; rrf_hybrid fuses the first ten."""
+    return lexicon(spark, sf).fused_deep.filter("rank <= 10").select("q", "rank", "d", "score")
+
+
 _LISTS = BASE + ", l as (select 'bm25' as method, * from b10 union all select 'tfidf', * from t10 union all select 'rrf', * from f10)"
 
 
-def _lists(x):
-    return x.bm25.select(F.lit("bm25").alias("method"), "q", "rank", "d").union(x.tfidf.select(F.lit("tfidf"), "q", "rank", "d")).union(x.fused.select(F.lit("rrf"), "q", "rank", "d"))
+def _lists(x, deep=False):
+    bm25, tfidf, fused = (x.bm25_deep, x.tfidf_deep, x.fused_deep) if deep else (x.bm25, x.tfidf, x.fused)
+    return bm25.select(F.lit("bm25").alias("method"), "q", "rank", "d").union(tfidf.select(F.lit("tfidf"), "q", "rank", "d")).union(fused.select(F.lit("rrf"), "q", "rank", "d"))
+
+
+def _map_mrr(x, lists):
+    asked = lists.join(x.gold.select("q").distinct(), "q", "left_semi")
+    rows = asked.join(x.gold.withColumn("hit", F.lit(1)), ["q", "d"], "left").select("method", F.struct("method", "q").alias("q"), "rank", F.coalesce("hit", F.lit(0)).alias("hit"))
+    e = M.average_precision(rows).select("q.method", "p1", "ap", "rr")
+    return e.groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("p1"), 6).alias("p_at_1"), F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("rr"), 6).alias("mrr"))
+
+
+def _recall(x, lists, ks):
+    first = lists.join(x.gold, ["q", "d"]).groupBy("method", "q").agg(F.min("rank").alias("first"))
+    n = x.gold.agg(F.countDistinct("q").alias("n"))
+    rows = lists.select("method").distinct().join(first, "method", "left").withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    out = rows.groupBy("method", "k").agg(F.count_if(F.col("first") <= F.col("k")).alias("found")).crossJoin(F.broadcast(n))
+    return out.select("method", "k", "found", "n", F.round(F.try_divide("found", "n"), 9).alias("recall"))
 
 
 @query("candidate_map_mrr", _LISTS + """, h as (select l.method, l.q, l.rank, case when g.d is null then 0 else 1 end as hit from l left join g using (q, d) where l.q in (select q from g)),
@@ -120,10 +157,16 @@ def _lists(x):
     select method, count(*) as n, round(avg(p1), 6) as p_at_1, round(avg(ap), 6) as map, round(avg(rr), 6) as mrr from e group by 1""")
 def candidate_map_mrr(spark, sf):
     x = lexicon(spark, sf)
-    asked = _lists(x).join(x.gold.select("q").distinct(), "q", "left_semi")
-    rows = asked.join(x.gold.withColumn("hit", F.lit(1)), ["q", "d"], "left").select("method", F.struct("method", "q").alias("q"), "rank", F.coalesce("hit", F.lit(0)).alias("hit"))
-    e = M.average_precision(rows).select("q.method", "p1", "ap", "rr")
-    return e.groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("p1"), 6).alias("p_at_1"), F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("rr"), 6).alias("mrr"))
+    return _map_mrr(x, _lists(x))
+
+
+@query("candidate_map_mrr_deep", DEEP + """, h as (select l.method, l.q, l.rank, case when g.d is null then 0 else 1 end as hit from l left join g using (q, d) where l.q in (select q from g)),
+    p as (select *, sum(hit) over (partition by method, q order by rank) / rank as prec from h),
+    e as (select method, q, max(case when rank = 1 then hit else 0 end) as p1, coalesce(avg(prec) filter (where hit = 1), 0) as ap, coalesce(1 / min(rank) filter (where hit = 1), 0) as rr from p group by 1, 2)
+    select method, count(*) as n, round(avg(p1), 6) as p_at_1, round(avg(ap), 6) as map, round(avg(rr), 6) as mrr from e group by 1""")
+def candidate_map_mrr_deep(spark, sf):
+    x = lexicon(spark, sf)
+    return _map_mrr(x, _lists(x, deep=True))
 
 
 @query("recall_at_k", _LISTS + """, f as (select l.method, l.q, min(rank) as first from l join g using (q, d) group by 1, 2), n as (select count(distinct q) as n from g)
@@ -131,12 +174,15 @@ def candidate_map_mrr(spark, sf):
     from (select distinct method from l) m cross join (select unnest([1, 3, 5, 10]) as k) k left join f using (method) group by 1, 2""")
 def recall_at_k(spark, sf):
     x = lexicon(spark, sf)
-    lists = _lists(x)
-    first = lists.join(x.gold, ["q", "d"]).groupBy("method", "q").agg(F.min("rank").alias("first"))
-    n = x.gold.agg(F.countDistinct("q").alias("n"))
-    rows = lists.select("method").distinct().join(first, "method", "left").withColumn("k", F.explode(F.array(*map(F.lit, (1, 3, 5, 10)))))
-    out = rows.groupBy("method", "k").agg(F.count_if(F.col("first") <= F.col("k")).alias("found")).crossJoin(F.broadcast(n))
-    return out.select("method", "k", "found", "n", F.round(F.try_divide("found", "n"), 9).alias("recall"))
+    return _recall(x, _lists(x), (1, 3, 5, 10))
+
+
+@query("recall_at_k_deep", DEEP + """, f as (select l.method, l.q, min(rank) as first from l join g using (q, d) group by 1, 2), n as (select count(distinct q) as n from g)
+    select m.method, k.k, count(f.q) filter (where f.first <= k.k) as found, (select n from n) as n, round(count(f.q) filter (where f.first <= k.k) / (select n from n), 9) as recall
+    from (select distinct method from l) m cross join (select unnest([5, 10, 20, 50]) as k) k left join f using (method) group by 1, 2""")
+def recall_at_k_deep(spark, sf):
+    x = lexicon(spark, sf)
+    return _recall(x, _lists(x, deep=True), (5, 10, 20, 50))
 
 
 @query("document_frequency", BASE + "select term, df, round(ln(1 + (n0 - df + 0.5) / (df + 0.5)), 9) as idf from df, st where df >= 2")
