@@ -21,7 +21,7 @@ DIM = 64
 BETA = 0.02
 
 
-_kept: dict[tuple[str, str], Vectors] = {}
+_kept: dict[tuple[str, ...], Vectors] = {}
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> Vectors:
@@ -32,6 +32,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> Vectors:
     return _kept[key]
 
 
+def every(spark: SparkSession, sf_dir: str) -> Every:
+    """The same corpus, with scores and lists of all evaluated queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, "every")
+    if key not in _kept:
+        x, y = vectors(spark, sf_dir), Every(spark, sf_dir)
+        y.corpus, y.links, y.adjacency, y.nodes, y.labelled = x.corpus, x.links, x.adjacency, x.nodes, x.labelled
+        _kept[key] = y
+    return _kept[key]
+
+
 def forget() -> None:
     """For benchmarks: the next query starts from the files."""
     _kept.clear()
@@ -75,14 +85,18 @@ class Vectors:
     def labelled(self) -> DataFrame:
         return cut(self.evaluated.join(self.gold.select(F.col("q").alias("pos")).distinct(), "pos", "left_semi"))
 
+    @property
+    def asked(self) -> DataFrame:
+        return self.labelled
+
     @cached_property
     def nodes(self) -> DataFrame:
         return cut(R.node_table(self.adjacency, self.corpus, DIM))
 
     @cached_property
     def scores(self) -> DataFrame:
-        """Score table of the labelled queries, kept for all rankers."""
-        own = R.score_table(self.corpus, self.labelled, 5, self.nodes.select("node"))
+        """Score table of the asked queries, kept for all rankers."""
+        own = R.score_table(self.corpus, self.asked, 5, self.nodes.select("node"))
         return cut(R.link_scores(own, self.adjacency, self.nodes, self.corpus))
 
     def top(self, method: str, k: int = 5) -> DataFrame:
@@ -110,6 +124,14 @@ class Vectors:
         return cut(marked.select(F.lit("marked").alias("key"), "q", "d").union(R.family(marked, self.adjacency).select(F.lit("family").alias("key"), "q", "d")))
 
 
+class Every(Vectors):
+    """Queries without a link count too: their lists can open a gate or pass a threshold, and never hit."""
+
+    @property
+    def asked(self) -> DataFrame:
+        return self.evaluated
+
+
 DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]))"
 
 GRAPH = f"""
@@ -163,3 +185,11 @@ fam as (select gold.q, gold.d from gold join lab using (q) union select gold.q,
 keys as (select 'marked' as key, gold.q, gold.d from gold join lab using (q) union all select 'family', q, d from fam)
 """
 )
+
+
+def every_sql(sql: str) -> str:
+    """The same over scores of all evaluated queries."""
+    asked = "join lab on lab.q = q.pos"
+    if sql.count(asked) != 1:
+        raise ValueError("the SQL does not take its queries from lab")
+    return sql.replace(asked, "join ev on ev.q = q.pos")

@@ -25,7 +25,7 @@ def _learned(x):
 def m3_topk(spark, sf):
     """Plain search in the learned space."""
     x = vectors(spark, sf)
-    return R.top_k(R.score_table(_learned(x), x.labelled, 5).withColumnRenamed("own", "score"), 5)
+    return R.top_k(R.score_table(_learned(x), x.evaluated, 5).withColumnRenamed("own", "score"), 5)
 
 
 @query("m4_topk")
@@ -35,7 +35,7 @@ def m4_topk(spark, sf):
     space = _learned(x)
     dim = len(space.first()["v"])
     nodes = cut(R.node_table(x.adjacency, space, dim))
-    s = R.link_scores(R.score_table(space, x.labelled, 5, nodes.select("node")), x.adjacency, nodes, space)
+    s = R.link_scores(R.score_table(space, x.evaluated, 5, nodes.select("node")), x.adjacency, nodes, space)
     return R.top_k(s.withColumn("score", F.round(F.col("m1") + 0.02 * F.col("logdeg"), 6)), 5).select("q", "rank", "d", "score")
 
 

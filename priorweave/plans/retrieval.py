@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 from priorweave.operators import metrics as M
 from priorweave.operators import ranking as R
 
-from .fixtures import BETA, DOT, GRAPH, LISTS, Vectors, interleave_sql, vectors
-from .registry import query
+from .fixtures import BETA, DOT, GRAPH, LISTS, Vectors, every, every_sql, interleave_sql, vectors
+from .registry import ORACLES, query
 
 
 @query(
@@ -364,3 +364,81 @@ def grid_choice(spark, sf):
     good = top.join(x.gold, ["q", "d"], "left_semi").groupBy("beta").agg(F.countDistinct("q").alias("hits"))
     rows = hit.join(good, "beta", "left").select("beta", F.coalesce("hits", F.lit(0)).alias("hits"))
     return rows.agg(F.max_by(F.struct("beta", "hits"), F.struct("hits", -F.col("beta"))).alias("b")).select("b.*")
+
+
+@query("m1_topk_all", every_sql(ORACLES["m1_topk"]))
+def m1_topk_all(spark, sf):
+    return every(spark, sf).top("m1")
+
+
+@query("popularity_control_all", every_sql(ORACLES["popularity_control"]))
+def popularity_control_all(spark, sf):
+    return every(spark, sf).top("p0")
+
+
+@query("gate_signal_all", every_sql(ORACLES["gate_signal"]))
+def gate_signal_all(spark, sf):
+    return _signal(every(spark, sf))
+
+
+@query("scoped_topk_all", every_sql(ORACLES["scoped_topk"]))
+def scoped_topk_all(spark, sf):
+    x = every(spark, sf)
+    docs = x.corpus.withColumnRenamed("label", "scope")
+    return R.top_k(R.score_table(docs, x.asked, 5).withColumnRenamed("own", "score"), 5)
+
+
+GATES_SQL = every_sql(HITS) + SIGNAL_SQL + f""", ha as (select q, hit from hit where method = 'm0' and key = 'family' and k = 5), hb as (select q, hit from hit where method = 'h1' and key = 'family' and k = 5),
+    each as (select ev.q, signal, source, ev.q in (select q from lab) as labelled, coalesce(hb.hit, 0) - coalesce(ha.hit, 0) as gain from ev left join sig using (q) left join ha using (q) left join hb using (q)),
+    ga as (select t.tau, count(*) filter (where labelled) as labelled, count(*) filter (where labelled and signal >= t.tau - 1e-12) as opened_labelled, count(*) filter (where not labelled) as unlabelled,
+      count(*) filter (where not labelled and signal >= t.tau - 1e-12) as opened_unlabelled, count(*) filter (where signal >= t.tau - 1e-12 and gain > 0) as gains, count(*) filter (where signal >= t.tau - 1e-12 and gain < 0) as losses,
+      count(*) filter (where labelled and signal >= t.tau - 1e-12 and gain = 0) as neutral, count(*) filter (where signal >= t.tau - 1e-12 and source = 'centroid') as by_centroid
+      from each, (select unnest([{", ".join(map(str, TAUS))}])::double as tau) t group by t.tau)"""
+
+
+def _gates(spark, sf):
+    """Openings of the gate for every evaluated query: H1 against M0 at five for labelled ones, apart from them those without a label.
+    A query without a fresh suggestion never opens, but counts."""
+    x = every(spark, sf)
+    fam = M.hits(x.lists, x.keys).filter("key = 'family' and k = 5")
+    gain = M.paired(fam, "h1", "m0").select("q", (F.col("x") - F.col("y")).alias("gain"))
+    labelled = x.labelled.select(F.col("pos").alias("q"), F.lit(True).alias("labelled"))
+    each = x.evaluated.withColumnRenamed("pos", "q").join(_signal(x), "q", "left").join(gain, "q", "left").join(labelled, "q", "left")
+    rows = each.withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
+    op, lab, gain = F.coalesce(F.col("signal") >= F.col("tau") - 1e-12, F.lit(False)), F.col("labelled").isNotNull(), F.coalesce("gain", F.lit(0))
+    counts = {"labelled": lab, "opened_labelled": lab & op, "unlabelled": ~lab, "opened_unlabelled": ~lab & op, "gains": op & (gain > 0), "losses": op & (gain < 0), "neutral": lab & op & (gain == 0), "by_centroid": op & (F.col("source") == "centroid")}
+    return rows.groupBy("tau").agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
+@query("gate_table_all", GATES_SQL + " select *, round((opened_labelled + opened_unlabelled) / (labelled + unlabelled), 9) as coverage from ga")
+def gate_table_all(spark, sf):
+    return _gates(spark, sf).withColumn("coverage", F.round((F.col("opened_labelled") + F.col("opened_unlabelled")) / (F.col("labelled") + F.col("unlabelled")), 9))
+
+
+@query(
+    "gate_choice_all",
+    GATES_SQL + """, c as (select tau, opened_labelled + opened_unlabelled as opened, opened_labelled, gains, losses, labelled + unlabelled as n from ga)
+    select tau, opened, gains, losses from c where gains >= losses and opened >= 0.02 * n order by opened desc, gains / nullif(opened_labelled, 0) desc nulls last, tau limit 1""",
+)
+def gate_choice_all(spark, sf):
+    rows = _gates(spark, sf).withColumn("opened", F.col("opened_labelled") + F.col("opened_unlabelled"))
+    ok = rows.filter((F.col("gains") >= F.col("losses")) & (F.col("opened") >= 0.02 * (F.col("labelled") + F.col("unlabelled"))))
+    best = F.max_by(F.struct("tau", "opened", "gains", "losses"), F.struct("opened", F.try_divide("gains", "opened_labelled"), -F.col("tau"))).alias("b")
+    return ok.agg(best).select("b.*").filter("tau is not null")  # no row if no gate will do
+
+
+@query(
+    "threshold_search_all",
+    every_sql(HITS) + """, x as (select l.score, coalesce(h.hit, 0) as hit from l0 l left join hit h on h.q = l.q and h.method = 'm0' and h.key = 'family' and h.k = 1 where l.rank = 1),
+    g as (select score, sum(hit) as good, count(*) as al from x group by score),
+    r as (select score, sum(good) over (order by score desc) / sum(al) over (order by score desc) as p from g)
+    select round(min(score), 6) as tau, (select count(*) from x where score >= (select min(score) from r where p >= 0.5)) as opened, (select count(*) from x) as n from r where p >= 0.5""",
+)
+def threshold_search_all(spark, sf):
+    """All queries are scored, so those without a label stand for themselves only, as misses; tau is null if no score is precise enough."""
+    x = every(spark, sf)
+    hit = M.hits(x.lists, x.keys).filter("method = 'm0' and key = 'family' and k = 1").select("q", "hit")
+    labelled = x.labelled.select(F.col("pos").alias("q"), F.lit(True).alias("labelled"))
+    rows = x.top("m0").filter("rank = 1").join(hit, "q", "left").join(labelled, "q", "left").select("score", F.coalesce("hit", F.lit(0)).alias("hit"), F.coalesce("labelled", F.lit(False)).alias("labelled"))
+    tau = M.threshold(rows, 1.0)
+    return rows.crossJoin(F.broadcast(tau)).groupBy().agg(F.round(F.first("tau"), 6).alias("tau"), F.count_if(F.col("score") >= F.col("tau")).alias("opened"), F.count("*").alias("n"))
