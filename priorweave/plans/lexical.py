@@ -11,7 +11,7 @@ from priorweave.operators import ranking as R
 from priorweave.operators import timeline as T
 from priorweave.session import cut, table
 
-from .registry import query
+from .registry import ORACLES, query
 
 #: Words that lexical search leaves out; one list for engine and SQL.
 STOP = "a an and are as at be by for from has he in is it its of on or that the this to was were will with you".split()
@@ -198,11 +198,20 @@ def document_frequency(spark, sf):
     x as (select conv_id, turn, v.token, e.v from t join v using (token) join e using (r))
     select conv_id, turn, i::int as i, round(avg(v[i]), 6) as c from x, range(1, 9) s(i) group by 1, 2, 3""")
 def mean_word_vectors(spark, sf):
+    return _mean_word_vectors(spark, sf, 8)
+
+
+@query("mean_word_vectors_64", ORACLES["mean_word_vectors"].replace("range(1, 9)", "range(1, 65)"))
+def mean_word_vectors_64(spark, sf):
+    return _mean_word_vectors(spark, sf, 64)
+
+
+def _mean_word_vectors(spark, sf, dim):
     from priorweave.functions.vectors import draw
 
-    vec = T.positions(table(spark, sf, "embeddings"), ["vec_id"]).select((F.col("pos") + 1).alias("r"), F.slice("embedding", 1, 8).alias("v"))
+    vec = T.positions(table(spark, sf, "embeddings"), ["vec_id"]).select((F.col("pos") + 1).alias("r"), F.slice("embedding", 1, dim).alias("v"))
     n = vec.count()
     tokens = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("d"), F.explode(X.words(F.col("text"))).alias("token"))
     known = tokens.select("token").distinct().filter(draw("known", F.col("token")) % 2 == 0).withColumn("r", 1 + draw(F.col("token")) % n)
-    means = R.mean_word_vector(tokens, known.join(vec, "r").select("token", "v"), 8)
+    means = R.mean_word_vector(tokens, known.join(vec, "r").select("token", "v"), dim)
     return means.select("d.conv_id", "d.turn", F.posexplode("v").alias("i", "c")).select("conv_id", "turn", (F.col("i") + 1).alias("i"), F.round("c", 6).alias("c"))
