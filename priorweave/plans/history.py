@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from priorweave.operators import timeline as T
 from priorweave.session import table
 
-from .registry import query
+from .registry import ORACLES, query
 
 T0 = "2024-01-20"
 E = """with e as (select user_id as post, case when event_id % 2 = 0 then 'title' else 'body' end as kind, ts, event_id as seq, event_type || '-' || event_id as text, event_type, event_id from events),
@@ -44,16 +44,19 @@ _Q = E + """, q as (select event_id as q, ts as asked, post // 10 as d from e wh
     a as (select distinct post as answer, post // 10 as d, created from e join made using (post))"""
 
 
-def _asked(spark, sf):
+def _asked(spark, sf, every=False):
     e = _events(spark, sf)
-    q = e.filter(F.col("event_id") % 50 == 0).select(F.col("event_id").alias("q"), F.col("ts").alias("asked"), F.floor(F.col("post") / 10).alias("d"))
+    q = (e if every else e.filter(F.col("event_id") % 50 == 0)).select(F.col("event_id").alias("q"), F.col("ts").alias("asked"), F.floor(F.col("post") / 10).alias("d"))
     made = e.groupBy("post").agg(F.min("ts").alias("created"))
     return e, q, made.select(F.col("post").alias("answer"), F.floor(F.col("post") / 10).alias("d"), "created")
 
 
 @query("asof_per_query", _Q + ", p as (select q.q, a.answer, q.asked from q join a using (d)) select p.q, p.answer, arg_max(e.text, (e.ts, e.text)) as text from p join e on e.post = p.answer and e.ts < p.asked group by 1, 2")
 def asof_per_query(spark, sf):
-    e, q, a = _asked(spark, sf)
+    return _per_query(*_asked(spark, sf))
+
+
+def _per_query(e, q, a):
     return T.asof_per_query(q.join(a, "d").select("q", "answer", "asked"), e.select(F.col("post").alias("answer"), "ts", "text"))
 
 
@@ -62,12 +65,28 @@ def asof_per_query(spark, sf):
       from p left join e on e.post = p.answer and e.ts::date < p.asked::date group by 1, 2, 3, 4)
     select q, d, answer, case when accepted is not null then 'accepted' else 'votes' end as rule from c qualify row_number() over (partition by q, d order by accepted desc nulls last, ups desc, created, answer) = 1""")
 def asof_best_answer(spark, sf):
-    e, q, a = _asked(spark, sf)
+    return _best_answer(*_asked(spark, sf))
+
+
+def _best_answer(e, q, a):
     kind = F.when(F.col("event_type") == "purchase", "accepted").when(F.col("event_type") == "click", "up")
     votes = e.select(F.col("post").alias("answer"), kind.alias("kind"), F.to_date("ts").alias("day"))
     return T.best_answer(q, a, votes).select("q", "d", "answer", "rule")
 
 
+_every = lambda name: ORACLES[name].replace(" where event_id % 50 = 0", "")
+
+
+@query("asof_per_query_all", _every("asof_per_query"))
+def asof_per_query_all(spark, sf):
+    return _per_query(*_asked(spark, sf, every=True))
+
+
+@query("asof_best_answer_all", _every("asof_best_answer"))
+def asof_best_answer_all(spark, sf):
+    return _best_answer(*_asked(spark, sf, every=True))
+
+
 @query("latest_event", E + "select post, kind, arg_max(text, (ts, seq)) as text from e group by 1, 2")
 def latest_event(spark, sf):
     return T.asof_latest(_events(spark, sf), ["post", "kind"], "text", ["ts", "seq"])
