@@ -36,7 +36,7 @@ def paired(hit: DataFrame, x: str, y: str) -> DataFrame:
     return each(x, "x").join(each(y, "y"), ["key", "k", "q"])
 
 
-def bootstrap(pairs: DataFrame, value: Column, replicates: int = 200, by: tuple[str, ...] = ("key", "k"), unit: str = "q", seed: str = "boot") -> DataFrame:
+def bootstrap(pairs: DataFrame, value: Column, replicates: int = 2000, by: tuple[str, ...] = ("key", "k"), unit: str = "q", seed: str = "boot") -> DataFrame:
     """2.5 and 97.5 % points of a statistic over resamples, and the statistic itself.
 
     A unit is in a resample Poisson(1) times, by a hash of seed, replicate and unit: resamples need no order, no collected list and no

@@ -8,7 +8,7 @@ from priorweave.functions.vectors import draw
 from priorweave.operators import metrics as M
 from priorweave.session import table
 
-from .registry import query
+from .registry import ORACLES, query
 
 J = "with j as (select d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic from documents d join labels l using (doc_id)) "
 
@@ -57,14 +57,35 @@ BOOT = J + """, x as (select *, ('0x' || substr(md5('boot-' || rep || '-' || doc
 
 @query("bootstrap_ci", BOOT.format(w=_W, stat="sum(w * (quality - toxic)) / nullif(sum(w), 0)", point="avg(quality - toxic)"))
 def bootstrap_ci(spark, sf):
+    return _bootstrap_ci(spark, sf, 200)
+
+
+def _bootstrap_ci(spark, sf, replicates):
     stat = F.try_divide(F.sum(F.col("w") * (F.col("quality") - F.col("toxic"))), F.sum("w"))
-    return M.bootstrap(_judged(spark, sf), stat, by=("lang",), unit="doc_id")
+    return M.bootstrap(_judged(spark, sf), stat, replicates, by=("lang",), unit="doc_id")
 
 
 @query("bootstrap_ratio", BOOT.format(w=_W, stat="sum(w * quality) / nullif(sum(w * toxic), 0) - 1", point="sum(quality) / nullif(sum(toxic), 0) - 1"))
 def bootstrap_ratio(spark, sf):
+    return _bootstrap_ratio(spark, sf, 200)
+
+
+def _bootstrap_ratio(spark, sf, replicates):
     stat = F.try_divide(F.sum(F.col("w") * F.col("quality")), F.sum(F.col("w") * F.col("toxic"))) - 1
-    return M.bootstrap(_judged(spark, sf), stat, by=("lang",), unit="doc_id")
+    return M.bootstrap(_judged(spark, sf), stat, replicates, by=("lang",), unit="doc_id")
+
+
+_more = lambda name: ORACLES[name].replace("range(1, 201)", "range(1, 2001)")
+
+
+@query("bootstrap_ci_2000", _more("bootstrap_ci"))
+def bootstrap_ci_2000(spark, sf):
+    return _bootstrap_ci(spark, sf, 2000)
+
+
+@query("bootstrap_ratio_2000", _more("bootstrap_ratio"))
+def bootstrap_ratio_2000(spark, sf):
+    return _bootstrap_ratio(spark, sf, 2000)
 
 
 @query("win_tie_loss", J + "select source, count(*) filter (where quality > toxic) as wins, count(*) filter (where quality < toxic) as losses, count(*) filter (where quality = toxic) as ties, round(avg(sign(quality - toxic)), 9) as delta from j group by 1")
