@@ -3,15 +3,17 @@
 Streaming all documents past the indexes of all shards would cost the square of the corpus, so text is dealt to shards by content:
 
 1. A window's key is the smallest hash of its 6-word runs. Equal windows have equal keys, wherever they stand. Neighbouring
-   windows of one key form a segment. Keys that occur once in the corpus are dropped; nothing that repeats is lost.
-2. Segments of the other keys are cut out. Equal segments are one row with their first place before anything is indexed, so a
-   group of copies costs one row, and all windows of the other copies start earlier for certain. A key of HOT distinct segments or
-   more, as at the ends of a passage that thousands of documents share, would be too much for one shard: its windows are dealt by
-   their own hash instead, where equal ones meet.
-3. A shard holds all distinct segments of its keys, about SHARD_WORDS words. Its FM-index takes all their windows by backward
-   search; the interval of a window that occurs again gives its first place, and a window that starts later than that is reported.
-
-Reported intervals return to their documents by id, are merged, and the words they cover are removed.
+   windows of one key form a segment. Segments of keys that occur once in the corpus are dropped, by a Bloom filter of a fixed size;
+   nothing that repeats is lost.
+2. Equal segments (of key and content, 128 bits) are one row with their first place before anything is indexed, so a group of copies
+   costs one row, and all windows of the other copies start earlier for certain. A key whose distinct segments have more words than
+   half a shard, as at the ends of a passage that thousands of documents share, would be too much for one shard: its windows are
+   dealt by their own hash instead, where equal ones meet.
+3. Only the words of the other keys' distinct segments are fetched from their texts. A shard holds those of its keys, about
+   SHARD_WORDS words. They are streamed past the shard's FM-index; where the matching statistic reaches a window, the interval of its
+   suffixes gives the window's first place, and a window that starts later than that is reported.
+
+Reported runs return to their documents by id and text hash, are merged, and the words they cover are removed.
 """
 
 from __future__ import annotations
@@ -26,13 +28,11 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .fmindex import FMIndex
-from .storage import Stash, arrow_batches
+from .storage import Stash, arrow_batches, key_filter, maybe_in
 
 WINDOW = 20
 GRAM = 6
-HOT = 1000
 SHARD_WORDS = 400_000
-NO_ID = -(1 << 63)
 
 
 def sliding(x: np.ndarray, n: int, best) -> np.ndarray:
@@ -77,24 +77,28 @@ def _anchor_counts(window: int):
     return run
 
 
-def _anchor_documents(window: int):
+def _segments(window: int):
+    """(k0, k1, text_hash, text) -> the runs of neighbouring windows of one key, with a hash of their words."""
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            keys, owners = [np.zeros(0, K.U)], [ids[:0]]
-            for i, _, g in _documents(batch.column(1), window):
-                own = np.unique(anchors(g, window))
-                keys.append(own)
-                owners.append(np.full(len(own), ids[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(keys))), pa.array(np.concatenate(owners))], ["key", "id"])
+            at, columns = [np.zeros(0, np.int64)], [[np.zeros(0, bool if k == 4 else np.int64)] for k in range(5)]
+            for i, hashes, grams in _documents(batch.column(3), window):
+                own = window_keys(grams, window)
+                edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+                a, b = edge[:-1], edge[1:]
+                places = np.sort(anchors(grams, window))
+                twice = places[1:][places[1:] == places[:-1]]
+                again = np.isin(own[a], twice) if len(twice) else np.zeros(len(a), bool)
+                at.append(np.full(len(a), i))
+                for c, x in zip(columns, (K.signed(own[a]), K.signed(_contents(hashes, a, b + window - 1)), a, b - a, again)):
+                    c.append(x)
+            whose = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([*(c.take(whose) for c in batch.columns[:3]), *(pa.array(np.concatenate(c)) for c in columns)], [*ROW, "key", "content", "start", "windows", "again"])
 
     return run
 
 
-SEGMENT = "struct<key: long, content: long, start: long, windows: long, again: boolean, words: string>"
-SEGMENT_NAMES = ["key", "content", "start", "windows", "again", "words"]
-
-
 def _spelled(words: list[bytes], starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """The words of each span, joined by spaces."""
     whole = b" ".join(words)
@@ -109,60 +113,28 @@ def _contents(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return K.mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(K.U))
 
 
-def _cut(window: int):
-    """(id, text_hash, text, keys) -> n_words, the digest of the whole text, and the segments of repeated keys."""
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = K.string_bytes(batch.column(2))
-            keys = batch.column(3)
-            known_all = keys.flatten().to_numpy().view(K.U)
-            sizes = np.array([len(x) if x.is_valid else 0 for x in keys], np.int64)
-            known_at = np.concatenate([[0], np.cumsum(sizes)])
-            n_words, digests, counts = [], [], []
-            columns: list[list] = [[] for _ in range(6)]
-            for i in range(batch.num_rows):
-                raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                words = raw.split()
-                n_words.append(len(words))
-                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                found = 0
-                if sizes[i] and len(words) >= window:
-                    part = data[offsets[i] : offsets[i + 1]]
-                    hashes, _, _, _ = K.word_hashes(part, np.array([0, len(part)]), lower=False)
-                    grams = K.run_hash(hashes, GRAM)
-                    own = window_keys(grams, window)
-                    known = np.sort(known_all[known_at[i] : known_at[i + 1]])
-                    edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-                    a, b = edge[:-1], edge[1:]
-                    hit = known[np.minimum(np.searchsorted(known, own[a]), len(known) - 1)] == own[a]
-                    a, b = a[hit], b[hit]
-                    found = len(a)
-                    places = np.sort(anchors(grams, window))
-                    twice = places[1:][places[1:] == places[:-1]]
-                    again = np.isin(own[a], twice) if len(twice) else np.zeros(found, bool)
-                    for c, x in zip(columns, (K.signed(own[a]), K.signed(_contents(hashes, a, b + window - 1)), a, b - a, again)):
-                        c.append(x)
-                    columns[5] += _spelled(words, a, b + window - 1)
-                counts.append(found)
-            flat = [pa.array(np.concatenate([*c, np.zeros(0, bool if k == 4 else np.int64)])) for k, c in enumerate(columns[:5])]
-            flat.append(pa.array(columns[5], pa.binary()).cast(pa.string()))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays(flat, SEGMENT_NAMES))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(digests, pa.string()), lists],
-                ["id", "text_hash", "n_words", "digest", "segments"],
-            )
-
-    return run
+def _spell(batches):
+    """(k0, k1, text_hash, text, wanted) -> the words of each wanted segment."""
+    for batch in batches:
+        at, spelled, fields = [], [], [[], [], []]
+        for i, (text, wanted) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+            starts, windows = (np.array([w[k] for w in wanted], np.int64) for k in ("start", "windows"))
+            at += [i] * len(wanted)
+            spelled += _spelled(text.encode().split(), starts, starts + windows + wanted[0]["window"] - 1)
+            for c, k in zip(fields, ("shard", "start", "windows")):
+                c += [w[k] for w in wanted]
+        whose = pa.array(at, pa.int64())
+        words = pa.array(spelled, pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([*(c.take(whose) for c in batch.columns[:3]), *(pa.array(c, pa.int64()) for c in fields), words], [*ROW, "shard", "start", "windows", "words"])
 
 
 def _windows(window: int):
-    """(id, text_hash, start, windows, words) of a segment -> (id, text_hash, start, content) of each of its windows."""
+    """(k0, k1, text_hash, start, windows, words) of a segment -> (k0, k1, text_hash, start, content) of each of its windows."""
 
     def run(batches):
         for batch in batches:
-            starts, windows = (batch.column(k).to_numpy() for k in (2, 3))
-            data, offsets = K.string_bytes(batch.column(4))
+            starts, windows = (batch.column(k).to_numpy() for k in (3, 4))
+            data, offsets = K.string_bytes(batch.column(5))
             at, begins, contents = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, K.U)]
             for i in range(batch.num_rows):
                 part = data[offsets[i] : offsets[i + 1]]
@@ -171,15 +143,15 @@ def _windows(window: int):
                 at.append(np.full(len(a), i))
                 begins.append(starts[i] + a)
                 contents.append(_contents(hashes, a, a + window))
-            at = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(begins)), pa.array(K.signed(np.concatenate(contents)))], ["id", "text_hash", "start", "content"])
+            whose = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([*(c.take(whose) for c in batch.columns[:3]), pa.array(np.concatenate(begins)), pa.array(K.signed(np.concatenate(contents)))], [*ROW, "start", "content"])
 
     return run
 
 
 def _search(window: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, starts, hashes_of, windows = group["id"].to_numpy(), group["start"].to_numpy(), group["text_hash"].to_numpy(), group["windows"].to_numpy()
+        starts, windows = group["start"].to_numpy(), group["windows"].to_numpy()
         data, offsets = K.string_bytes(pa.array(group["words"], pa.string()))
         hashes, _, _, first = K.word_hashes(data, offsets, lower=False)
         names, numbers = np.unique(hashes, return_inverse=True)
@@ -188,90 +160,117 @@ def _search(window: int):
         place = np.arange(len(hashes)) + owner
         text = np.zeros(len(hashes) + n, np.int64)
         text[place] = numbers + 1
-        inside = np.arange(len(hashes)) - first[owner]
         index = FMIndex(text, len(names) + 1)
+        inside = np.arange(len(hashes)) - first[owner]
         at = np.flatnonzero(inside < windows[owner])
-        found, low, high = index.repeated(place[at], window)
-        priority = np.full(len(text), len(text), np.int64)
-        order = np.lexsort((starts[owner] + inside, ids[owner]))
+        length, low, high = index.matching(text, place[at] + window, window)
+        found = length >= window
+        at, low, high = at[found], low[found], high[found]
+        whose = group["k1"].to_numpy()[owner], group["k0"].to_numpy()[owner], starts[owner] + inside
+        order = np.lexsort(whose[::-1])
         same = np.ones(len(order), bool)
-        same[1:] = (np.diff(ids[owner][order]) != 0) | (np.diff((starts[owner] + inside)[order]) != 0)
+        same[1:] = np.any([x[order][1:] != x[order][:-1] for x in whose], axis=0)
+        priority = np.full(len(text), len(text), np.int64)
         priority[place[order]] = np.cumsum(same)
-        hit = at[found][index.least(low, high, priority) < priority[place[at[found]]]]
+        hit = at[index.least(low, high, priority) < priority[place[at]]]
         begins = starts[owner[hit]] + inside[hit]
         new = np.ones(len(hit), bool)
         new[1:] = (np.diff(owner[hit]) != 0) | (np.diff(begins) != 1)
         last = np.append(new[1:], True)[: len(hit)]
-        return pd.DataFrame({"id": ids[owner[hit][new]], "text_hash": hashes_of[owner[hit][new]], "a": begins[new], "b": begins[last]})
+        return group[ROW].iloc[owner[hit][new]].assign(a=begins[new], b=begins[last])
 
     return run
 
 
-def _removed(window: int):
+def _kept(texts: list, spans: list, window: int):
+    """(words, words removed, the rest joined by spaces) of each text."""
+    for text, own in zip(texts, spans):
+        words = (text or "").encode().split()
+        change = np.zeros(len(words) + 1, np.int64)
+        for s in own or ():
+            change[s["a"]] += 1
+            change[s["b"] + window] -= 1
+        keep = np.cumsum(change[:-1]) == 0
+        left = [words[i] for i in np.flatnonzero(keep).tolist()] if not keep.all() else words
+        yield len(words), len(words) - len(left), b" ".join(left)
+
+
+def _digests(window: int):
+    def run(batches):
+        for batch in batches:
+            found = list(_kept(batch.column(1).to_pylist(), batch.column(2).to_pylist(), window))
+            sizes = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, pa.array([hashlib.sha256(x[2]).hexdigest() for x in found], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return run
+
+
+def _cleaned(window: int, schema):
+    """Rows of documents and their spans -> the rows with the words that are left, without those that lose all."""
+
     def run(batches):
         for batch in batches:
-            sizes, out, digests, texts = [], [], [], []
-            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                words = text.encode().split()
-                sizes.append(len(words))
-                change = np.zeros(len(words) + 1, np.int64)
-                for s in spans or ():
-                    change[s["a"]] += 1
-                    change[s["b"] + window] -= 1
-                keep = np.cumsum(change[:-1]) == 0
-                left = [words[i] for i in np.flatnonzero(keep).tolist()] if not keep.all() else words
-                out.append(len(words) - len(left))
-                whole = b" ".join(left)
-                digests.append(hashlib.sha256(whole).hexdigest())
-                texts.append(whole.decode())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(out, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["id", "text_hash", "n_words", "n_removed", "kept_sha256", "kept"]
-            )
+            names = batch.schema.names
+            found = list(_kept(batch.column(names.index("text")).to_pylist(), batch.column(names.index("_spans")).to_pylist(), window))
+            texts = [x[2].decode() for x in found]
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
+            out = pa.RecordBatch.from_arrays([new[c].cast(batch.column(names.index(c)).type) if c in new else batch.column(names.index(c)) for c in schema.names], schema.names)
+            yield out.filter(pa.array([bool(x) for x in texts], pa.bool_()))
 
     return run
 
 
-def _parts(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """Texts without a repeated key, as results; and the others with the text that is left of them."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    stash = Stash(spark, "substring")
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
+ROW = ["k0", "k1", "text_hash"]
+
+
+def _keys(id_col: str, text_col: str) -> dict:
+    own = F.col(id_col).cast("long")
+    return {"k0": F.coalesce(own, F.lit(0)), "k1": own.isNotNull(), "text_hash": F.xxhash64(F.col(text_col).cast("string"))}
+
+
+def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, stash: Stash) -> DataFrame:
+    """(k0, k1, text_hash, spans): for each text with a repeated window, the runs a..b of starts of windows that also start earlier."""
+    if window < GRAM:
+        raise ValueError(f"a window has {GRAM} words at least, as its key is the hash of so many")
+    arrow_batches(docs.sparkSession)
+    rows = docs.select(*(c.alias(k) for k, c in _keys(id_col, text_col).items()), F.col(text_col).cast("string").alias("text"))
     counts = rows.select("text").mapInArrow(_anchor_counts(window), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    repeated = stash.keep(counts.filter("n > 1"))
-    met = rows.mapInArrow(_anchor_documents(window), "key long, id long").join(repeated.select("key"), "key")
-    keys = stash.keep(met.groupBy("id").agg(F.collect_list("key").alias("keys")))
-    cut = rows.join(keys, "id", "left").select("id", F.xxhash64("text").alias("text_hash"), "text", "keys")
-    cut = stash.keep(cut.mapInArrow(_cut(window), f"id long, text_hash long, n_words long, digest string, segments array<{SEGMENT}>"))
-    each = cut.select("id", "text_hash", F.explode("segments").alias("s")).select("id", "text_hash", "s.*")
-    first = F.min(F.struct("id", "start", "text_hash")).alias("first")
-    distinct = each.groupBy("key", "content").agg(first, F.max("again").alias("again"), F.first("windows").alias("windows"), F.first("words").alias("words"))
-    distinct = stash.keep(distinct.select("key", "content", "first.*", "again", "windows", "words"))
-    firsts = distinct.select("key", "content", F.col("id").alias("first_id"), F.col("start").alias("first_start"))
-    copies = each.select("id", "text_hash", "start", "windows", "key", "content").join(firsts, ["key", "content"])
-    later = F.expr("id <> first_id or start <> first_start")
-    spans = [copies.filter(later).select("id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1).alias("b"))]
-    kinds = stash.keep(distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.max("again").alias("again")).filter("kinds > 1 or again").select("key", "kinds"))
-    several = distinct.select("key", "id", "text_hash", "start", "windows", "words").join(kinds, "key")
-    several = stash.keep(several)
-    size = several.filter(F.col("kinds") < HOT).agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
-    dealt = several.filter(F.col("kinds") < HOT).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(-(-size // SHARD_WORDS) or 1)))
-    spans.append(dealt.select("shard", "id", "text_hash", "start", "windows", "words").groupBy("shard").applyInPandas(_search(window), "id long, text_hash long, a long, b long"))
-    single = several.filter(F.col("kinds") >= HOT).select("id", "text_hash", "start", "windows", "words")
-    single = stash.keep(single.mapInArrow(_windows(window), "id long, text_hash long, start long, content long"))
-    earliest = stash.keep(single.groupBy("content").agg(F.min(F.struct("id", "start")).alias("first")).select("content", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")))
-    spans.append(single.join(earliest, "content").filter(later).select("id", "text_hash", F.col("start").alias("a"), F.col("start").alias("b")))
-    spans = stash.keep(stash.keep(spans[0].union(spans[1]).union(spans[2])).groupBy("id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    touched = spans.select("id", "text_hash", F.lit(True).alias("touched"))
-    none = cut.select("id", "text_hash", "n_words", "digest").join(touched, ["id", "text_hash"], "left").filter("touched is null")
-    some = rows.select("id", F.xxhash64("text").alias("text_hash"), "text").join(spans, ["id", "text_hash"])
-    some = some.mapInArrow(_removed(window), "id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return none.select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256")), some
-
-
-def _named(column: str = "id"):
-    return F.when(F.col(column) != NO_ID, F.col(column)).alias("doc_id")
+    bits = stash.keep(key_filter(counts.filter("n > 1"), "key"))
+    # keys that the filter lets pass though they occur once have one segment, which does no harm below
+    each = rows.mapInArrow(_segments(window), "k0 long, k1 boolean, text_hash long, key long, content long, start long, windows long, again boolean")
+    each = stash.keep(maybe_in(each, bits, "key").filter("_maybe").drop("_maybe"), bits)
+    first = F.min(F.struct("k1", "k0", "start", "text_hash")).alias("first")
+    distinct = each.groupBy("key", "content").agg(first, F.count("*").alias("n"), F.max("again").alias("again"), F.first("windows").alias("windows"))
+    distinct = stash.keep(distinct.select("key", "content", "first.*", "n", "again", "windows"))
+    firsts = distinct.filter("n > 1").select("key", "content", F.col("k0").alias("f0"), F.col("k1").alias("f1"), F.col("start").alias("first_start"))
+    bits = stash.keep(key_filter(firsts, "key", "content"))
+    copies = maybe_in(each, bits, "key", "content").filter("_maybe").join(firsts, ["key", "content"])
+    later = F.expr("k0 <> f0 or k1 <> f1 or start <> first_start")
+    spans = [stash.keep(copies.filter(later).select(*ROW, F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1).alias("b")), each, bits)]
+    words = F.col("windows") + window - 1
+    kinds = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.max("again").alias("again"), F.sum(words).alias("words"))
+    kinds = stash.keep(kinds.filter("kinds > 1 or again").select("key", "words"))
+    hot = F.col("words") > SHARD_WORDS // 2
+    size = kinds.filter(~hot).agg(F.sum("words")).first()[0] or 0
+    shard = F.when(~hot, F.pmod(F.xxhash64("key"), F.lit(-(-size // SHARD_WORDS) or 1)))
+    bits = stash.keep(key_filter(kinds, "key"))
+    several = maybe_in(distinct.select("key", *ROW, "start", "windows"), bits, "key").filter("_maybe").join(kinds, "key")
+    wanted = several.groupBy(*ROW).agg(F.collect_list(F.struct(shard.alias("shard"), "start", "windows", F.lit(window).alias("window"))).alias("wanted"))
+    wanted = stash.keep(wanted, distinct, kinds, bits)
+    bits = stash.keep(key_filter(wanted, *ROW))
+    texts = maybe_in(rows, bits, *ROW).filter("_maybe").dropDuplicates(ROW).join(wanted, ROW).select(*ROW, "text", "wanted")
+    pieces = stash.keep(texts.mapInArrow(_spell, "k0 long, k1 boolean, text_hash long, shard long, start long, windows long, words string"), wanted, bits)
+    dealt = pieces.filter("shard is not null")
+    spans.append(stash.keep(dealt.groupBy("shard").applyInPandas(_search(window), "k0 long, k1 boolean, text_hash long, a long, b long")))
+    single = pieces.filter("shard is null").select(*ROW, "start", "windows", "words")
+    single = stash.keep(single.mapInArrow(_windows(window), "k0 long, k1 boolean, text_hash long, start long, content long"), pieces)
+    earliest = single.groupBy("content").agg(F.min(F.struct("k1", "k0", "start")).alias("first"))
+    earliest = stash.keep(earliest.select("content", F.col("first.k0").alias("f0"), F.col("first.k1").alias("f1"), F.col("first.start").alias("first_start")))
+    spans.append(single.join(earliest, "content").filter(later).select(*ROW, F.col("start").alias("a"), F.col("start").alias("b")))
+    found = spans[0].union(spans[1]).union(spans[2]).groupBy(*ROW).agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    found = stash.keep(found)
+    stash.only(found)
+    return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -279,20 +278,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A window that occurs earlier (smaller id, or same id and smaller start) is covered with all its words. A null text has no words,
     a null id comes before all others. Rows of one id and text are one document and give the same result; rows of one id with
-    different texts are compared by start. Other columns are ignored.
+    different texts are compared by start. Other columns are ignored. A window below GRAM words is refused.
     """
-    none, some = _parts(docs, id_col, text_col, window)
-    return none.union(some.select(none.columns)).select(_named(), "n_words", "n_removed", "kept_sha256")
+    stash = Stash(docs.sparkSession, "substring")
+    spans = repeats(docs, id_col, text_col, window, stash)
+    bits = stash.keep(key_filter(spans, *ROW))
+    keys = _keys(id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(c.alias(k) for k, c in keys.items()))
+    split = maybe_in(rows, bits, *ROW)
+    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    sure = split.filter("not _maybe").select("doc_id", "text", F.lit(None).cast("array<struct<a: long, b: long>>").alias("_spans"))
+    some = split.filter("_maybe").join(spans, ROW, "left").select("doc_id", "text", "_spans")
+    return sure.mapInArrow(_digests(window), kind).union(some.mapInArrow(_digests(window), kind))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the words that remain, joined by spaces, as text where words were removed; rows left without words go."""
-    _, some = _parts(docs, "doc_id", "text", window)
-    changed = some.filter("n_removed > 0").select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"), F.col("kept").alias("_t")).dropDuplicates(["_i", "_h"])
-    key = docs.withColumns({"_a": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_b": F.xxhash64(F.col("text").cast("string"))})
-    joined = key.join(changed, (F.col("_a") == F.col("_i")) & (F.col("_b") == F.col("_h")), "left").filter("_t is null or _t <> ''")
-    text = F.coalesce("_t", "text")
-    return joined.withColumns({"text": text, "n_chars": F.when(F.col("_t").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))}).select(docs.columns)
+    """docs with the words that remain, joined by spaces, as text where words were removed; rows that lose all their words go.
+
+    Rows are told apart by id and text, so null and shared ids do no harm. Rows without a repeat pass as they are, without a shuffle.
+    """
+    stash = Stash(docs.sparkSession, "substring")
+    spans = repeats(docs, "doc_id", "text", window, stash)
+    bits = stash.keep(key_filter(spans, *ROW))
+    own = {f"_{k}": c for k, c in _keys("doc_id", "text").items()}
+    split = maybe_in(docs.withColumns(own), bits, *own)
+    some = split.filter("_maybe").join(spans.withColumnsRenamed(dict(zip(ROW, own))), [*own], "left")
+    changed = some.filter("_spans is not null").select(*docs.columns, "_spans").mapInArrow(_cleaned(window, docs.schema), docs.schema)
+    return split.filter("not _maybe").select(docs.columns).union(some.filter("_spans is null").select(docs.columns)).union(changed)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -139,13 +139,67 @@ def repeats_brute(plain, window=20):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
-def test_substring_dedup(spark, odd_docs, plain, monkeypatch, hot):
-    monkeypatch.setattr(substring, "HOT", hot)
-    monkeypatch.setattr(substring, "SHARD_WORDS", 3000)
-    assert Counter(map(tuple, substring.remove_repeats(odd_docs).collect())) == repeats_brute(plain)
-    if hot == 2:
+@pytest.mark.parametrize("shard_words, window", [(3000, 20), (60, 20), (3000, 45)])
+def test_substring_dedup(spark, odd_docs, plain, monkeypatch, shard_words, window):
+    """With 60 words a shard nearly every key is hot, so that its windows are dealt by their own hash."""
+    monkeypatch.setattr(substring, "SHARD_WORDS", shard_words)
+    assert Counter(map(tuple, substring.remove_repeats(odd_docs, window=window).collect())) == repeats_brute(plain, window)
+    if shard_words == 60:
         assert substring.remove_repeats(odd_docs.filter("false")).count() == 0
+        with pytest.raises(ValueError):
+            substring.remove_repeats(odd_docs, window=5)
+
+
+@pytest.fixture(scope="module")
+def unnamed(spark):
+    """Copies, near copies and shared passages among documents without an id and documents that share one."""
+    import random
+
+    rng = random.Random(8)
+    text = lambda n, of="abcdefgh": " ".join("".join(rng.choice(of) for _ in range(6)) for _ in range(n))
+    base, passage = text(50), text(30)
+    near = lambda i: " ".join([f"x{i}", *base.split()[1:]])
+    rows = [(None, base), (None, near(1)), (None, text(40)), (None, text(40)), (None, None), (9, near(2)), (9, text(40)), (9, near(3)), (9, near(3)), (4, passage + " " + text(20))]
+    rows += [(None, text(10) + " " + passage), (None, text(10) + " " + passage), (4, text(25) + " " + passage), (None, text(3))]
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'a' as source", "cast(length(text) as long) as n_chars"), rows
+
+
+def test_documents_without_an_id(spark, unnamed):
+    """Rows are told apart by id and text: one row of a component stays, and only the rows that repeat words lose them."""
+    df, rows = unnamed
+    assert Counter(map(tuple, neardup.near_duplicates(df).collect())) == near_brute(rows)
+    left = Counter((r.doc_id, r.text) for r in neardup.without_near_duplicates(df).collect())
+    like = {t for _, t in rows if t and t.split()[1:] == rows[0][1].split()[1:]}
+    assert sum(n for (_, t), n in left.items() if t in like) == 1 and all(i == 9 for i, t in left if t in like)
+    assert left - Counter({k: n for k, n in left.items() if k[1] in like}) == Counter((i, t) for i, t in rows if t not in like)
+    assert Counter(map(tuple, substring.remove_repeats(df).collect())) == repeats_brute(rows)
+    want = Counter(k[3] for k in repeats_brute(rows).elements() if k[1] > k[2])
+    got = [r.text for r in substring.without_repeats(df).collect() if r.text is not None]
+    assert Counter(hashlib.sha256(" ".join(words(t)).encode()).hexdigest() for t in got) == want
+
+
+def test_index_equals_counting():
+    import random
+
+    import numpy as np
+
+    from priorweave.llm.fmindex import FMIndex
+
+    rng = random.Random(4)
+    for n in (1, 7, 60, 400):
+        text = np.array([rng.randint(0, 3) for _ in range(n)])
+        index = FMIndex(text, 4)
+        rows = np.arange(len(text))
+        where = index.locate(rows + 1)
+        assert sorted(where.tolist()) == rows.tolist()
+        assert [text[k:].tolist() for k in where] == sorted(text[k:].tolist() for k in rows)
+        stream = np.array([rng.randint(0, 3) for _ in range(50)])
+        length, low, high = index.matching(stream, np.arange(9, 51), 9)
+        for end, found, a, b in zip(range(9, 51), length, low, high):
+            at = lambda m: [k for k in rows if k + m <= len(text) and (text[k : k + m] == stream[end - m : end]).all()]  # noqa: B023, E731
+            assert found == max([m for m in range(1, 10) if len(at(m)) > 1], default=0)
+            if found:
+                assert sorted(index.locate(np.arange(a, b)).tolist()) == at(found)
 
 
 def test_mixing(spark, odd_docs, plain):
