@@ -46,10 +46,16 @@ def targets(sizes: DataFrame, share: float, epochs: float, weights: tuple[float,
     return t.withColumn("target", F.when(F.col("level").isNull() | (F.col("level") > F.col("full_at")), F.col("cap")).otherwise(F.col("level") * F.col("weight")))
 
 
+def _identity(id_col: str, text_col: str, source_col: str, seed: int) -> dict[str, Column]:
+    """What tells a row from others, and its place in its source's random order."""
+    own, text, source = F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(source_col).cast("string")
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), own, F.xxhash64(text), source), 11)
+    return {"doc_id": own, "text_hash": F.xxhash64(text), "source": F.coalesce(source, F.lit("")), "no_source": source.isNull(), "key": key}
+
+
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    text, source = F.col(text_col).cast("string"), F.col(source_col).cast("string")
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.xxhash64(text), source), 11)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(source, F.lit("")).alias("source"), source.isNull().alias("no_source"), word_count(text).alias("size"), key.alias("key"))
+    identity = _identity(id_col, text_col, source_col, seed)
+    return docs.select(*(c.alias(k) for k, c in identity.items()), word_count(F.col(text_col).cast("string")).alias("size"))
 
 
 def bucket(key: Column, buckets: Column) -> Column:
@@ -57,64 +63,93 @@ def bucket(key: Column, buckets: Column) -> Column:
     return F.floor(key / F.lit(float(1 << 53)) * buckets)
 
 
+BY = ["source", "no_source"]
+
+
+def _dealt(docs: DataFrame, columns: tuple[str, str, str], share: float, epochs: float, weights: tuple[float, ...], seed: int, stash: Stash) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Measured rows with their bucket, a row for each source with its target, and for each bucket the words before it."""
+    rows = stash.keep(_measured(docs, *columns, seed))
+    sizes = rows.groupBy(*BY).agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    goals = targets(sizes, share, epochs, weights).withColumn("budget", F.floor("target"))
+    whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).alias("whole")
+    goals = stash.keep(goals.select(*BY, "source_size", "target", "budget", whole, F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets")))
+    dealt = stash.keep(rows.join(goals, BY).withColumn("bucket", bucket(F.col("key"), F.col("buckets"))), rows)
+    sums = dealt.groupBy(*BY, "bucket").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy(*BY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt, goals, stash.keep(sums.withColumn("offset", F.coalesce(upto, F.lit(0))))
+
+
+def _taken(dealt: DataFrame, offsets: DataFrame) -> DataFrame:
+    inside = Window.partitionBy(*BY, "bucket").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, [*BY, "bucket"])
+    rest = F.col("budget") - F.col("whole") * F.col("source_size") - F.col("offset") - F.col("inside")
+    taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_hash", *BY)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target and taken of each row, with text_hash, source and no_source to find the row again.
 
     Null and blank texts have size 0 and take nothing; a null source is a source of its own, after all others, unlike ''. Equal
     rows are taken like different ones. An empty table gives no rows. Other columns are ignored.
     """
-    stash = Stash(docs.sparkSession, "mixing")
-    rows = stash.keep(_measured(docs, id_col, text_col, source_col, seed))
-    by = ["source", "no_source"]
-    sizes = rows.groupBy(*by).agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    goals = stash.keep(targets(sizes, share, epochs, weights).select(*by, "source_size", "target", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"), F.floor("target").alias("budget")))
-    dealt = stash.keep(rows.join(goals, by).withColumn("bucket", bucket(F.col("key"), F.col("buckets"))))
-    sums = dealt.groupBy(*by, "bucket").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(*by, "bucket", F.coalesce(upto, F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*by, "bucket").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, [*by, "bucket"])
-    whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
-    rest = F.col("budget") - whole * F.col("source_size") - F.col("offset") - F.col("inside")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_hash", *by)
+    dealt, _, offsets = _dealt(docs, (id_col, text_col, source_col), share, epochs, weights, seed, Stash(docs.sparkSession, "mixing"))
+    return _taken(dealt, offsets)
 
 
 def _repeated(batches) -> Iterator[pa.RecordBatch]:
-    """Rows with the columns of documents and taken -> a row for each epoch; the last has its first words only."""
+    """Rows with the columns of documents, _whole and _words -> a row for each epoch, and one with the first _words words."""
     for batch in batches:
         names = batch.schema.names
         at, texts = [], []
-        column = batch.column(names.index("text"))
-        for i, (text, taken) in enumerate(zip(column, batch.column(names.index("taken")).to_pylist())):
-            if not taken:
-                continue
-            text = text.as_py().encode()
+        column, whole, part = (batch.column(names.index(c)) for c in ("text", "_whole", "_words"))
+        for i, (text, times, some) in enumerate(zip(column, whole.to_pylist(), part.to_pylist())):
+            text = (text.as_py() or "").encode()
             starts, ends, _ = K.word_spans(K.np.frombuffer(text, K.np.uint8), K.np.array([0, len(text)]))
-            for _ in range(taken // len(starts)):
+            for _ in range(times if len(starts) else 0):
                 at.append(i)
                 texts.append(text.decode())
-            if taken % len(starts):
+            if some and some < len(starts):
                 at.append(i)
-                texts.append(text[: ends[taken % len(starts) - 1]].decode())
+                texts.append(text[: ends[some - 1]].decode())
         out = batch.take(pa.array(at, pa.int64()))
-        fields = [n for n in names if n != "taken"]
-        columns = [pa.array(texts, pa.string()) if n == "text" else pa.array([len(x) for x in texts], pa.int64()) if n == "n_chars" else out.column(names.index(n)) for n in fields]
-        yield pa.RecordBatch.from_arrays(columns, fields)
+        fields = [n for n in names if n not in ("_whole", "_words")]
+        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
+        yield pa.RecordBatch.from_arrays([new.get(n, out.column(names.index(n))) for n in fields], fields)
 
 
-def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of documents, repeated and cut as taken says, n_chars counted anew."""
+def mixed_texts(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: int = 17) -> DataFrame:
+    """The mix itself: rows of documents, repeated and cut as taken says, n_chars counted anew.
+
+    A row's bucket says how often it is taken, but for the one bucket of a source in which its budget ends: only those rows are
+    joined with what each takes, the others stay where they are. Rows without words go; repeated rows and ids, null ids and null
+    sources are rows like any other.
+    """
     arrow_batches(docs.sparkSession)
-    plan = mix(docs, **options).filter("taken > 0")
-    match = Window.partitionBy("doc_id", "text_hash", "source", "no_source").orderBy("taken")
-    plan = plan.withColumn("copy", F.row_number().over(match)).select("doc_id", "text_hash", "source", "no_source", "copy", "taken")
-    source = F.col("source").cast("string")
-    rows = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_h": F.xxhash64(F.col("text").cast("string")), "_s": F.coalesce(source, F.lit("")), "_n": source.isNull()})
-    rows = rows.withColumn("_c", F.row_number().over(Window.partitionBy("_i", "_h", "_s", "_n").orderBy(F.lit(0))))
-    found = rows.join(plan.select(*(F.col(c).alias(f"_p{k}") for k, c in enumerate(plan.columns))), F.col("_i").eqNullSafe(F.col("_p0")) & (F.col("_h") == F.col("_p1")) & (F.col("_s") == F.col("_p2")) & (F.col("_n") == F.col("_p3")) & (F.col("_c") == F.col("_p4")))
-    found = found.select(*docs.columns, F.col("_p5").alias("taken"))
-    return found.mapInArrow(_repeated, docs.schema)
+    stash = Stash(docs.sparkSession, "mixing")
+    dealt, goals, offsets = _dealt(docs, ("doc_id", "text", "source"), share, epochs, weights, seed, stash)
+    rest = F.col("budget") - F.col("whole") * F.col("source_size")
+    ends = offsets.join(goals, BY).groupBy(*BY).agg(F.min(F.when(F.col("offset") + F.col("words") > rest, F.col("bucket"))).alias("last"))
+    goals = stash.keep(goals.join(ends, BY).select(*BY, "whole", "buckets", "last"), goals)
+    there = dealt.join(goals.select(*BY, "last"), BY).filter(F.col("bucket") == F.col("last")).drop("last")
+    match = ["doc_id", "text_hash", *BY]
+    plan = _taken(there, offsets).withColumn("copy", F.row_number().over(Window.partitionBy(*match).orderBy("taken")))
+    plan = stash.keep(plan.select(*(F.col(c).alias(f"_p{k}") for k, c in enumerate([*match, "copy", "taken", "size"]))), dealt, offsets)
+    own = {f"_{c}": x for c, x in _identity("doc_id", "text", "source", seed).items()}
+    rows = docs.withColumns(own).join(goals.withColumnsRenamed({c: f"_g{c}" for c in goals.columns}), (F.col("_source") == F.col("_gsource")) & (F.col("_no_source") == F.col("_gno_source")))
+    rows = rows.withColumn("_bucket", bucket(F.col("_key"), F.col("_gbuckets")))
+    cut = F.coalesce(F.col("_bucket") == F.col("_glast"), F.lit(False))
+    once = F.when(F.col("_glast").isNull() | (F.col("_bucket") < F.col("_glast")), F.lit(1)).otherwise(F.lit(0))
+    sure = rows.filter(~cut).withColumns({"_whole": (F.col("_gwhole") + once).cast("long"), "_words": F.lit(0).cast("long")}).filter("_whole > 0")
+    cut_rows = rows.filter(cut).withColumn("_copy", F.row_number().over(Window.partitionBy(*(f"_{c}" for c in match)).orderBy(F.lit(0))))
+    on = F.col("_doc_id").eqNullSafe(F.col("_p0"))
+    for k, c in enumerate([*match[1:], "copy"], 1):
+        on = on & (F.col(f"_{c}") == F.col(f"_p{k}"))
+    full = F.when(F.col("_p6") > 0, F.expr("_p5 div _p6")).otherwise(F.lit(0)).cast("long")
+    some = F.when(F.col("_p6") > 0, F.expr("_p5 % _p6")).otherwise(F.lit(0)).cast("long")
+    cut_rows = cut_rows.join(plan, on).filter("_p5 > 0").withColumns({"_whole": full, "_words": some})
+    wanted = [*docs.columns, "_whole", "_words"]
+    return sure.select(wanted).union(cut_rows.select(wanted)).mapInArrow(_repeated, docs.schema)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
