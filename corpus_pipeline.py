@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorweave.llm import bpe, langid, mixing, neardup, substring
-from priorweave.llm.storage import Stash
+from priorweave.llm.storage import Stash, release
 
 #: A document goes if no profile of a known language is nearer than this (1: the same ranking, 0: no n-gram in common).
 LEAST_LANGUAGE_SCORE = 0.2
@@ -46,8 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' result on documents; release(spark) removes the tables that it reads once it has been written."""
     stash = Stash(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = stash.keep(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        known = frozenset(Stash.left)
+        docs = stash.keep(stage(spark, docs, sf_dir), *([docs] if k else []))
+        release(spark, known)
     return STAGES[-1][1](spark, docs, sf_dir).select(F.col("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
