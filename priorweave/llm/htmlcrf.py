@@ -14,6 +14,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,12 @@ from .storage import arrow_batches
 
 SAMPLE_PAGES = 300
 BUCKETS = 1 << 16
+#: A block's features look at so many ancestors, the nearest ones.
+ABOVE = 32
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>", re.S)
+#: The same where a quote of an earlier tag never ended: any > ends a tag.
+OPEN_QUOTES = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,114 +50,127 @@ class Block:
         self.text, self.tag, self.above, self.link, self.label = text, tag, above, link, label
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; text of scripts, styles, comments and the like is in none."""
+def blocks(page: str, mark: str | None = None) -> list[Block]:
+    """The leaf blocks of a page in order; text of scripts, styles, comments and the like is in none.
+
+    mark: the attribute that gives a label, 0 or 1, to learn from; without one every label is 0, whatever attributes a page has. The
+    time is linear in the page: names that are open are counted for each scope, and a tag whose quotes never end ends at its next >.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], int]] = []  # tag, feature words, label
+    stack: list[tuple[str, tuple[str, ...], int]] = []  # block-level tag, feature words, label
+    scopes: list[Counter] = [Counter()]  # names open since each tag of SCOPE, itself included
+    opened: Counter = Counter()
+    anchors: list[int] = []  # depth at which each open link began
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
-    above: tuple[str, ...] = ()
-    tag, label = "", 0
+    size = linked = 0
 
     def flush():
-        nonlocal linked
+        nonlocal linked, size
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tag, above, linked / max(1, sum(map(len, parts))), label))
+                tag, _, label = stack[-1] if stack else ("", (), 0)
+                above = tuple(dict.fromkeys(w for s in stack[-ABOVE:] for w in s[1]))
+                out.append(Block(text, tag, above, linked / max(1, size), label))
             parts.clear()
-        linked = 0
-
-    def settle():
-        nonlocal above, tag, label
-        block = [s for s in stack if s[0] not in INLINE]
-        above = tuple(dict.fromkeys(w for s in block for w in s[1]))
-        tag = block[-1][0] if block else ""
-        label = block[-1][2] if block else 0
+        size = linked = 0
 
     def add(text):
-        nonlocal linked
+        nonlocal linked, size
         if "&" in text:
             text = entities.unescape(text)
         parts.append(text)
-        if links:
+        size += len(text)
+        if anchors:
             linked += len(text)
 
-    n = len(page)
+    def push(name, words, label):
+        if name in SCOPE:
+            scopes.append(Counter())
+        opened[name] += 1
+        scopes[-1][name] += 1
+        stack.append((name, words, label))
+
+    def close(name):
+        """Takes the innermost tag of that name and all within off the stack."""
+        while stack:
+            top = stack.pop()[0]
+            opened[top] -= 1
+            scopes[-1][top] -= 1
+            if top in SCOPE:
+                scopes.pop()
+            if top == name:
+                break
+        while anchors and anchors[-1] > len(stack):
+            anchors.pop()
+
+    n, at, last, tags = len(page), 0, page.rfind(">"), TAG
     while at < n:
-        m = TAG.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last and not page.startswith(("<!--", "<![CDATA["), begin):
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
+        m = tags.match(page, begin)
+        if m is None and tags is TAG and page[begin + 1 : begin + 3].strip("/ ")[:1].isalpha():
+            tags = OPEN_QUOTES
+            m = tags.match(page, begin)
+        if m is None:
+            add(page[at : begin + 1])
+            at = begin + 1
+            continue
+        if begin > at:
+            add(page[at:begin])
         at = m.end()
         name = m[2]
         if name is None:
-            if m[0].startswith("<![CDATA["):
-                continue
             continue
         name = name.lower()
         if m[1]:
             if name == "a":
-                links = max(0, links - 1)
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if where is None:
-                if name == "p":
+                if anchors:
+                    anchors.pop()
+            elif name not in INLINE:
+                if opened[name]:
+                    flush()
+                    close(name)
+                elif name == "p":
                     flush()
-                continue
-            if name in INLINE:
-                if any(s[0] in SCOPE for s in stack[where + 1 :]):
-                    continue
-                del stack[where]
-                continue
-            flush()
-            links -= sum(s[0] == "a" for s in stack[where:])
-            links = max(0, links)
-            del stack[where:]
-            settle()
             continue
         if name == "br":
             parts.append(" ")
+            size += 1
             continue
         if name in RAW:
-            end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.I).search(page, at) if not m[3].endswith("/") else None
             flush()
             if not m[3].endswith("/"):
+                end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else n
             continue
         if name in INLINE:
-            if name not in VOID:
-                stack.append((name, (), 0))
-                links += name == "a"
+            if name == "a":
+                anchors.append(len(stack))
             continue
         flush()
-        if name in CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES[name]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE or (stack[i][0] not in INLINE and name == "p"):
-                    break
-            links = sum(s[0] == "a" for s in stack)
+        ends = CLOSES.get(name, ())
+        if name == "p":
+            if stack and stack[-1][0] == "p":
+                close("p")
+        elif any(scopes[-1][x] for x in ends):
+            while (top := stack[-1][0]) not in ends:
+                close(top)
+            close(top)
         if name in VOID:
-            settle()
             continue
         words, own = [f"<{name}"], stack[-1][2] if stack else 0
-        for s in reversed(stack):
-            if s[0] not in INLINE:
-                own = s[2]
-                break
         if m[3]:
             for a in ATTRIBUTE.finditer(m[3]):
                 key = a[1].lower()
                 value = a[2] or a[3] or a[4] or ""
                 if key in ("class", "id", "role", "itemprop"):
                     words += [f".{w}" for w in WORD.findall(value.lower())]
-                elif key == "data-label":
-                    own = int(value)
-        stack.append((name, tuple(words), own))
-        settle()
+                elif key == mark:
+                    own = int(value == "1")
+        push(name, tuple(words), own)
     flush()
     return out
 
@@ -273,21 +291,31 @@ def fit(pages: list[tuple[list[list[int]], list[int]]], steps: int = 120, penalt
 
 
 MARKED = re.compile(r"<(article|main)\b([^>]*)>|<(\w+)\b([^>]*\b(?:role=[\"']?main|itemprop=[\"']?articleBody)\b[^>]*)>", re.I)
-#: Kinds of clutter that learning sets into pages, in words that pages use for them.
-CLUTTER = [
-    '<aside class="sidebar"><h3>{a}</h3><ul><li><a href="#">{b}</a></li><li><a href="#">{c}</a></li></ul></aside>', '<div class="sidebar widget"><h4>{a}</h4><p>{b}</p></div>', '<div id="sidebar"><p>{b}</p></div>',
-    '<div class="cookie-notice"><p>{b}</p><button>{a}</button></div>', '<div class="notice" role="alert">{b}</div>', '<div class="banner consent"><p>{b}</p></div>', '<div id="newsletter-popup"><p>{b}</p></div>',
-    '<form class="search" action="/s"><label>{a}</label><input name="q"><button>{a}</button></form>', '<form><p>{b}</p><label>{a}</label></form>',
-    '<section class="comments"><h2>{a}</h2><div class="comment"><p>{b}</p></div><div class="comment"><p>{c}</p></div></section>', '<div id="comments"><ol><li class="comment"><p>{b}</p></li></ol></div>', '<ul class="comment-list"><li>{b}</li><li>{c}</li></ul>',
-    '<div class="ad">{b}</div>', '<div class="advert sponsored"><p>{b}</p></div>', '<div class="ads promo"><a href="#">{a}</a></div>', '<div class="related"><h3>{a}</h3><ul><li><a href="#">{b}</a></li></ul></div>',
-    '<header><h2>{a}</h2><p>{b}</p></header>', '<div class="header"><p>{b}</p></div>', '<nav class="breadcrumb"><a href="#">{a}</a><a href="#">{c}</a></nav>', '<div class="menu nav"><ul><li><a href="#">{a}</a></li></ul></div>',
-    '<footer><p>{b}</p></footer>', '<div class="footer copyright"><p>&copy; {b}</p></div>', '<div class="share social"><a href="#">{a}</a></div>', '<dialog><p>{b}</p></dialog>', '<menu><li><a href="#">{a}</a></li></menu>',
-]
-CONTENT = ['<div class="content"', '<div class="post-content"', '<div id="main"', '<main', '<div class="entry"', '<section class="article-body"', "<div", '<div class="story text"']
-
-
-def labelled(page: str, others: list[str], rng: random.Random, vary: bool) -> str | None:
-    """The page with a data-label at its article, varied if asked; None if it marks none."""
+#: Kinds of clutter that learning sets into pages; {w} is one of the words that pages name them by.
+CLUTTER = {
+    "sidebar widget aside rail": ['<aside class="{w}"><h3>{a}</h3><ul><li><a href="#">{b}</a></li><li><a href="#">{c}</a></li></ul></aside>', '<div class="{w}"><h4>{a}</h4><p>{b}</p></div>', '<div id="{w}"><p>{b}</p></div>', '<td class="{w}"><p>{b}</p></td>'],
+    "cookie-notice notice banner consent newsletter-popup alert": ['<div class="{w}"><p>{b}</p><button>{a}</button></div>', '<div class="{w}" role="alert">{b}</div>', '<div id="{w}"><p>{b}</p></div>', "<dialog><p>{b}</p></dialog>"],
+    "search login signup subscribe": ['<form class="{w}" action="/s"><label>{a}</label><input name="q"><button>{a}</button></form>', "<form><p>{b}</p><label>{a}</label></form>"],
+    "comments discussion replies responses reactions comment-list talkback": [
+        '<section class="{w}"><h2>{a}</h2><div class="comment"><p>{b}</p></div><div class="comment"><p>{c}</p></div></section>', '<section id="{w}"><h3>{a}</h3><p>{b}</p><p>{c}</p></section>', '<div id="{w}"><ol><li class="comment"><p>{b}</p></li></ol></div>',
+        '<div class="{w}"><h3>{a}</h3><p>{b}</p></div>', '<div class="{w}"><div class="reply"><b>{a}</b> <p>{c}</p></div></div>', '<ul class="{w}"><li>{b}</li><li>{c}</li></ul>', '<table class="{w}"><tr><td>{a}</td><td>{b}</td></tr></table>',
+    ],
+    "ad advert ads sponsored promo": ['<div class="{w}">{b}</div>', '<div class="{w}"><p>{b}</p></div>', '<div class="{w}"><a href="#">{a}</a></div>'],
+    "related share social breadcrumb menu nav": ['<div class="{w}"><h3>{a}</h3><ul><li><a href="#">{b}</a></li></ul></div>', '<nav class="{w}"><a href="#">{a}</a><a href="#">{c}</a></nav>', '<div class="{w}"><ul><li><a href="#">{a}</a></li></ul></div>', '<menu><li><a href="#">{a}</a></li></menu>', '<tr><td><a href="#">{a}</a> | <a href="#">{c}</a></td></tr>'],
+    "header masthead": ["<header><h2>{a}</h2><p>{b}</p></header>", '<div class="{w}"><p>{b}</p></div>'],
+    "footer copyright legal": ["<footer><p>{b}</p></footer>", '<div class="{w}"><p>&copy; {b}</p></div>', '<tr><td class="{w}">&copy; {b}</td></tr>'],
+}
+#: What articles have beside headings and paragraphs.
+PARTS = ["<table><tr><th>{a}</th><td>{b}</td></tr><tr><td>{a}</td><td>{c}</td></tr></table>", "<table><tr><td>{a}</td><td>{b}</td></tr></table>", "<ul><li>{b}</li><li>{c}</li></ul>", "<ol><li>{a}</li><li>{b}</li></ol>", "<blockquote><p>{b}</p></blockquote>", "<figure><figcaption>{b}</figcaption></figure>", "<h2>{a}</h2><p>{b}</p>", "<dl><dt>{a}</dt><dd>{b}</dd></dl>", "<pre>{b}</pre>", "<section><h3>{a}</h3><p>{c}</p></section>"]
+#: Wrappers of the article, with what closes them.
+CONTENT = [("<body", "</body>"), ("<body", "</body>"), ('<div class="content"', "</div>"), ('<div class="post-content"', "</div>"), ('<div id="main"', "</div>"), ("<main", "</main>"), ('<div class="entry"', "</div>"), ('<section class="article-body"', "</section>"), ("<div", "</div>"), ('<div class="story text"', "</div>"), ('<table><tr><td class="text"', "</td></tr></table>"), ('<table width="100%"><tr><td', "</td></tr></table>"), ('<table><tr><td><a href="#">Home</a></td><td', "</td></tr></table>"), ('<center><table><tr><td valign="top"', "</td></tr></table></center>")]
+
+
+def labelled(page: str, others: list[str], rng: random.Random, vary: bool, mark: str) -> str | None:
+    """The page with its article marked by an attribute of that name, varied if asked; None if it marks none.
+
+    Varied, it may have another wrapper, a table's cell among them, or lose all around the article, and clutter stands in and around it.
+    """
     m = MARKED.search(page)
     if m is None:
         return None
@@ -295,37 +323,43 @@ def labelled(page: str, others: list[str], rng: random.Random, vary: bool) -> st
     closing = page.lower().rfind(f"</{tag.lower()}")
     before, inside, after = page[: m.start()], page[m.end() : closing if closing > m.end() else len(page)], page[closing:] if closing > m.end() else ""
     after = after.partition(">")[2]
-    opening = f'<{tag}{m[2] or m[4] or ""} data-label="1">'
+    opening, ending = f'<{tag}{m[2] or m[4] or ""} {mark}="1">', f"</{tag}>"
     if not vary:
-        return f"{before}{opening}{inside}</{tag}>{after}"
+        return f"{before}{opening}{inside}{ending}{after}"
 
-    def piece() -> str:
+    def piece(clutter: bool = True) -> str:
+        names = rng.choice(list(CLUTTER))
         a, b, c = (rng.choice(others) for _ in range(3))
-        words = rng.choice(CLUTTER).format(a=entities.escape(" ".join(a.split()[: rng.randint(1, 4)])), b=entities.escape(b), c=entities.escape(c))
-        return words.replace(">", ' data-label="0">', 1)
+        kind = rng.choice(CLUTTER[names] if clutter else PARTS)
+        words = kind.format(w=rng.choice(names.split()), a=entities.escape(" ".join(a.split()[: rng.randint(1, 4)])), b=entities.escape(b), c=entities.escape(c))
+        return words.replace(">", f' {mark}="0">', 1) if clutter else words
 
     if rng.random() < 0.7:
-        opening = rng.choice(CONTENT) + ' data-label="1">'
-        tag = opening[1:].split()[0]
+        opening, ending = rng.choice(CONTENT)
+        opening += f' {mark}="1">'
+    if rng.random() < 0.15:
+        before = after = ""
     places = [x.end() for x in re.finditer(r"</p>", inside)] or [len(inside)]
+    if rng.random() < 0.1:  # a paragraph or two, and no more
+        return f'<html><body {mark}="1">' + "".join(f"<p>{entities.escape(rng.choice(others))}</p>" for _ in range(rng.randint(1, 2))) + "</body></html>"
     for at in sorted(rng.sample(places, min(len(places), rng.randint(0, 2))), reverse=True):
-        inside = inside[:at] + piece() + inside[at:]
-    return before + "".join(piece() for _ in range(rng.randint(0, 2))) + f"{opening}{inside}</{tag}>" + "".join(piece() for _ in range(rng.randint(0, 3))) + after
+        inside = inside[:at] + piece(rng.random() < 0.6) + inside[at:]
+    return before + "".join(piece() for _ in range(rng.randint(0, 2))) + f"{opening}{inside}{ending}" + "".join(piece() for _ in range(rng.randint(0, 3))) + after
 
 
 #: A page to learn from where the table has no labelled one.
 PLAIN = '<html><head><title>A page</title></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>A page</h1><p>It has a first paragraph of some length, with words.</p><p>Then a second one.</p></article><footer>&copy; All rights reserved</footer></body></html>'
 
 
-def train(pages: list[str], variants: int = 3, seed: int = 0) -> Field:
+def train(pages: list[str], variants: int = 4, seed: int = 0) -> Field:
     rng = random.Random(seed)
     found = [p for p in pages if MARKED.search(p or "")] or [PLAIN]
     others = [b.text for p in found[:50] for b in blocks(p)] or ["text"]
     features, data = Features(), []
+    mark = f"mark-{rng.getrandbits(64):x}"  # no attribute of a page
     for page in found:
         for k in range(1 + variants):
-            text = labelled(page, others, rng, vary=k > 0)
-            own = blocks(text)
+            own = blocks(labelled(page, others, rng, k > 0, mark), mark)
             data.append((features.of(own), [b.label for b in own]))
     return fit(data)
 

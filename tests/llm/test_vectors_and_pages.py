@@ -60,7 +60,7 @@ def test_held_out_pages_with_other_marks():
     rng, others = random.Random(9), [b.text for p in own[200:] for b in htmlcrf.blocks(p)]
     right = total = 0
     for p in own[120:200]:
-        found = htmlcrf.blocks(htmlcrf.labelled(p, others, rng, True))
+        found = htmlcrf.blocks(htmlcrf.labelled(p, others, rng, True, "mark-9"), "mark-9")
         for b, y in zip(found, field.decode(found)):
             right += b.label == y
             total += 1
@@ -96,3 +96,45 @@ def test_extract_odd_rows(spark):
     assert got[0].text == got[1].text == ""
     empty = df.filter("false")
     assert htmlcrf.extract(empty, htmlcrf.learn(empty)).count() == 0
+
+
+STORY = ["Rain over the hills", "The rain came down for three days and the river rose above its banks.", "Farmers moved their sheep to higher ground."]
+HEAD, FIRST, SECOND = STORY
+BODY = f"<h1>{HEAD}</h1><p>{FIRST}</p><p>{SECOND}</p>"
+SAID = "<p>I saw it myself, it was very bad near our house.</p><p>Nonsense, said nobody who lives there.</p>"
+LAYOUTS = {
+    "comments in the article": (f'<nav><a href="/">Home</a></nav><article>{BODY}<section id="discussion"><h3>What readers say</h3>{SAID}</section></article>', STORY),
+    "comments beside a story without a mark": (f'<div class="story">{BODY}</div><div class="comments">{SAID}</div>', STORY),
+    "a layout of tables": (f'<table><tr><td><a href="/">Home</a> | <a href="/n">News</a></td></tr><tr><td>{BODY}</td></tr><tr><td>&copy; 2020 The Valley Times</td></tr></table>', STORY),
+    "one paragraph": (f"<p>{FIRST}</p>", [FIRST]),
+    "no wrapper": (f'<div id="header"><a href="/">Home</a></div>{BODY}<div id="footer">&copy; The Valley Times</div>', STORY),
+    "attributes named like labels": (f'<article>{BODY}<table><tr><th>Thing</th><td data-label="Price">Seven coins for the whole lot of it.</td><td data-label="">The rest of them cost a little more.</td></tr></table><p data-label="0">{SECOND}</p></article>', [*STORY, "Thing", "Seven coins for the whole lot of it.", "The rest of them cost a little more.", SECOND]),
+}
+
+
+@pytest.fixture(scope="module")
+def field():
+    return htmlcrf.train(pages(250))
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_text_of_layouts(field, name):
+    body, want = LAYOUTS[name]
+    assert field.text(f"<html><head><title>x</title></head><body>{body}</body></html>").split("\n") == want
+    assert field.text(f"<html><body>{body}</body></html>").split("\n") == want
+
+
+@pytest.mark.parametrize("kind", ["nested", "unclosed", "quotes", "inline", "headings", "lists"])
+def test_parsing_takes_linear_time(kind):
+    import time
+
+    make = {
+        "nested": lambda n: "<div>" * n + "text", "unclosed": lambda n: "<a b " * n, "quotes": lambda n: '<a b="> ' * n + "<p c='>x", "inline": lambda n: "<i>" * n + "<b>" * n + "</i>" * n,
+        "headings": lambda n: "<p><div>" + "<x>" * n + "<h1>t" * n, "lists": lambda n: "<ul>" + "<li>a<ul>" * n,
+    }[kind]
+    took = []
+    for n in (5_000, 40_000):
+        page, began = make(n), time.process_time()
+        htmlcrf.blocks(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.02)  # eight times the page; its square would be 64
