@@ -303,12 +303,12 @@ CLUTTER = {
     "ad advert ads sponsored promo": ['<div class="{w}">{b}</div>', '<div class="{w}"><p>{b}</p></div>', '<div class="{w}"><a href="#">{a}</a></div>'],
     "related share social breadcrumb menu nav": ['<div class="{w}"><h3>{a}</h3><ul><li><a href="#">{b}</a></li></ul></div>', '<nav class="{w}"><a href="#">{a}</a><a href="#">{c}</a></nav>', '<div class="{w}"><ul><li><a href="#">{a}</a></li></ul></div>', '<menu><li><a href="#">{a}</a></li></menu>', '<tr><td><a href="#">{a}</a> | <a href="#">{c}</a></td></tr>'],
     "header masthead": ["<header><h2>{a}</h2><p>{b}</p></header>", '<div class="{w}"><p>{b}</p></div>'],
-    "footer copyright legal": ["<footer><p>{b}</p></footer>", '<div class="{w}"><p>&copy; {b}</p></div>', '<tr><td class="{w}">&copy; {b}</td></tr>'],
+    "footer copyright legal": ["<p>&copy; {a}</p>", "<div>&copy; {a}</div>", "<tr><td>&copy; {a}</td></tr>", "<footer><p>{b}</p></footer>", '<div class="{w}"><p>&copy; {b}</p></div>', '<tr><td class="{w}">&copy; {b}</td></tr>'],
 }
 #: What articles have beside headings and paragraphs.
 PARTS = ["<table><tr><th>{a}</th><td>{b}</td></tr><tr><td>{a}</td><td>{c}</td></tr></table>", "<table><tr><td>{a}</td><td>{b}</td></tr></table>", "<ul><li>{b}</li><li>{c}</li></ul>", "<ol><li>{a}</li><li>{b}</li></ol>", "<blockquote><p>{b}</p></blockquote>", "<figure><figcaption>{b}</figcaption></figure>", "<h2>{a}</h2><p>{b}</p>", "<dl><dt>{a}</dt><dd>{b}</dd></dl>", "<pre>{b}</pre>", "<section><h3>{a}</h3><p>{c}</p></section>"]
 #: Wrappers of the article, with what closes them.
-CONTENT = [("<body", "</body>"), ("<body", "</body>"), ('<div class="content"', "</div>"), ('<div class="post-content"', "</div>"), ('<div id="main"', "</div>"), ("<main", "</main>"), ('<div class="entry"', "</div>"), ('<section class="article-body"', "</section>"), ("<div", "</div>"), ('<div class="story text"', "</div>"), ('<table><tr><td class="text"', "</td></tr></table>"), ('<table width="100%"><tr><td', "</td></tr></table>"), ('<table><tr><td><a href="#">Home</a></td><td', "</td></tr></table>"), ('<center><table><tr><td valign="top"', "</td></tr></table></center>")]
+CONTENT = [("<body", "</body>"), ("<body", "</body>"), ('<div class="content"', "</div>"), ('<div class="post-content"', "</div>"), ('<div id="main"', "</div>"), ("<main", "</main>"), ('<div class="entry"', "</div>"), ('<section class="article-body"', "</section>"), ("<div", "</div>"), ('<div class="story text"', "</div>"), ('<table><tr><td class="text"', "</td></tr></table>"), ('<table width="100%"><tr><td', "</td></tr></table>"), ('<table><tr><td><a href="#">Home</a></td><td', "</td></tr></table>"), ('<center><table><tr><td valign="top"', "</td></tr></table></center>"), ('<table><tr><td><a href="#">Home</a> | <a href="#">Contact</a></td></tr><tr><td', "</td></tr><tr><td>&copy; 2019 All rights reserved</td></tr></table>"), ('<table><tr><td><a href="#">Start</a></td></tr><tr><td', "</td></tr><tr><td>&copy; A paper</td></tr></table>")]
 
 
 def labelled(page: str, others: list[str], rng: random.Random, vary: bool, mark: str) -> str | None:
@@ -328,7 +328,7 @@ def labelled(page: str, others: list[str], rng: random.Random, vary: bool, mark:
         return f"{before}{opening}{inside}{ending}{after}"
 
     def piece(clutter: bool = True) -> str:
-        names = rng.choice(list(CLUTTER))
+        names = rng.choice([n for n in CLUTTER for _ in range(1 + 2 * n.startswith("comments"))])  # the kind most like an article
         a, b, c = (rng.choice(others) for _ in range(3))
         kind = rng.choice(CLUTTER[names] if clutter else PARTS)
         words = kind.format(w=rng.choice(names.split()), a=entities.escape(" ".join(a.split()[: rng.randint(1, 4)])), b=entities.escape(b), c=entities.escape(c))
@@ -351,7 +351,7 @@ def labelled(page: str, others: list[str], rng: random.Random, vary: bool, mark:
 PLAIN = '<html><head><title>A page</title></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>A page</h1><p>It has a first paragraph of some length, with words.</p><p>Then a second one.</p></article><footer>&copy; All rights reserved</footer></body></html>'
 
 
-def train(pages: list[str], variants: int = 4, seed: int = 0) -> Field:
+def train(pages: list[str], variants: int = 6, seed: int = 0) -> Field:
     rng = random.Random(seed)
     found = [p for p in pages if MARKED.search(p or "")] or [PLAIN]
     others = [b.text for p in found[:50] for b in blocks(p)] or ["text"]
