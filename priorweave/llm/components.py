@@ -14,8 +14,8 @@ def components(links: DataFrame, stash: Stash) -> DataFrame:
     both = stash.keep(both.filter("a <> b").distinct())
     labels = stash.keep(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("lab")))
     while True:
-        seen = stash.keep(both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("lab").alias("seen")))
-        nearer = stash.keep(labels.join(seen, "node").select("node", F.least("lab", "seen").alias("lab"), F.col("lab").alias("old")), labels, seen)
+        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("lab").alias("seen"))
+        nearer = stash.keep(labels.join(seen, "node").select("node", F.least("lab", "seen").alias("lab"), F.col("lab").alias("old")), labels)
         jump = nearer.select(F.col("node").alias("lab"), F.col("lab").alias("root"))
         moved = nearer.join(jump, "lab").select("node", F.col("root").alias("lab"), F.when(F.col("root") != F.col("old"), True).alias("changed"))
         labels = stash.keep(moved, nearer)

@@ -178,14 +178,15 @@ class Sets:
     def full(self, nodes: DataFrame) -> DataFrame:
         """(node, n, shingles) of those nodes. Of the texts only those travel that a filter of the wanted ones lets pass."""
         wanted = self.stash.keep(self.heads.join(nodes, "node").select("node", "h2", *ROW))
-        bits = self.stash.keep(key_filter(wanted, *ROW))
-        rows = maybe_in(self.texts, bits, *ROW).filter("_maybe").dropDuplicates(ROW).select(*ROW, "text")
+        rows = maybe_in(self.texts, key_filter(wanted, *ROW), *ROW).filter("_maybe").dropDuplicates(ROW).select(*ROW, "text")
         sets = rows.join(wanted, ROW).select("node", "h2", "text").mapInArrow(_full_sets(self.words), "node long, n long, shingles binary")
-        return self.stash.keep(sets, wanted, bits)
+        return self.stash.keep(sets, wanted)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose full sets are similar enough; the table of pairs goes."""
         likely = self.stash.keep(_with(pairs, self.sketches, "sketch", self.percent).mapInArrow(_alike(self.percent), "a long, b long"), pairs)
+        if likely.isEmpty():
+            return likely
         sets = self.full(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
         return self.stash.keep(_with(likely, sets, "shingles", self.percent).mapInArrow(_similar(self.percent), "a long, b long"), likely, sets)
 
@@ -196,10 +197,9 @@ def _relabel(labels: DataFrame, links: DataFrame, stash: Stash) -> DataFrame:
         stash.drop(links)
         return labels
     x, y = (labels.select(F.col("node").alias(n), F.col("lab").alias(f"l{n}")) for n in "ab")
-    across = stash.keep(links.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")), links)
-    merged = components(across, stash)
+    merged = components(links.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")), stash)
     root = merged.select(F.col("node").alias("lab"), F.col("lab").alias("root"))
-    return stash.keep(labels.join(root, "lab", "left").select("node", F.coalesce("root", "lab").alias("lab")), labels, across, merged)
+    return stash.keep(labels.join(root, "lab", "left").select("node", F.coalesce("root", "lab").alias("lab")), labels, links, merged)
 
 
 STATE = ["node", "own", "rest", "needed", "size"]
@@ -235,15 +235,15 @@ def _resolve(postings: DataFrame, labels: DataFrame, sets: Sets, rounds: int | N
             return labels, stash.keep(here.join(lists.select("value"), "value").select("node").distinct(), here, lists)
         few, many = lists.filter(F.col("length") <= small), lists.filter(F.col("length") > small)
         as_a = [F.col("lab").alias("la"), *(F.col(c).alias(f"{c}_a") for c in STATE)]
-        outside = stash.keep(here.join(few, "value").filter("lab <> main").select("value", "main", *as_a))
+        outside = here.join(few, "value").filter("lab <> main").select("value", "main", *as_a)
         across = here.join(outside, "value").filter((F.col("lab") != F.col("la")) & ((F.col("lab") == F.col("main")) | (F.col("node") < F.col("node_a"))) & close)
-        long = stash.keep(here.join(many, "value").select("value", "lab", *STATE), lists)
+        long = stash.keep(here.join(many, "value").select("value", "lab", *STATE))
         first = F.min(F.struct("own", F.xxhash64("node", F.lit(t)).alias("h"), "node", "lab", "rest", "needed", "size")).alias("first")
         leaders = long.groupBy("value").agg(first).select("value", "first.*")
         leaders = stash.keep(leaders.select("value", *as_a))
         led = long.join(leaders, "value").filter((F.col("lab") != F.col("la")) & close)
         pairs = across.select("node_a", "node").union(led.select("node_a", "node"))
-        pairs = stash.keep(pairs.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct(), here, outside)
+        pairs = stash.keep(pairs.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct(), here, lists)
         labels = _relabel(labels, sets.confirmed(pairs), stash)
         postings = stash.keep(long.join(leaders.select("value", "node_a"), "value").filter("node <> node_a").select("value", *STATE), long, leaders)
         small = 16 * small or 2 * SMALL
@@ -266,8 +266,7 @@ def _rare_postings(left: DataFrame, sets: Sets, wide: int | None) -> DataFrame:
     rows = stash.keep(whole.select("node", "n", "shingles").mapInArrow(unpack, "node long, n long, low array<long>"), whole, left)
     each = rows.select("node", F.explode("low").alias("value"))
     shared = stash.keep(each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
-    bits = stash.keep(key_filter(shared, "value"))
-    met = maybe_in(each, bits, "value").filter("_maybe").join(shared, "value")
+    met = maybe_in(each, key_filter(shared, "value"), "value").filter("_maybe").join(shared, "value")
     ranked = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
     kept, needed = F.col("n"), F.ceil(F.col("n") * sets.percent / 100)
     if wide is not None:
@@ -275,9 +274,9 @@ def _rare_postings(left: DataFrame, sets: Sets, wide: int | None) -> DataFrame:
     own = kept - F.size("common")
     take = F.greatest(kept - needed + 1 - own, F.lit(0)).cast("int")
     size = F.when(F.col("n") == kept, F.col("n"))
-    out = rows.select("node", "n").join(stash.keep(ranked), "node")
+    out = rows.select("node", "n").join(ranked, "node")
     out = out.select("node", own.alias("own"), kept.alias("kept"), needed.alias("needed"), size.alias("size"), F.posexplode(F.slice("common", F.lit(1), take)).alias("at", "x"))
-    return stash.keep(out.select("x.value", "node", "own", (F.col("kept") - F.col("own") - F.col("at")).alias("rest"), "needed", "size"), rows, shared, bits)
+    return stash.keep(out.select("x.value", "node", "own", (F.col("kept") - F.col("own") - F.col("at")).alias("rest"), "needed", "size"), rows, shared)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, Stash]:
@@ -296,17 +295,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     nodes = stash.keep(nodes.select("h1", "h2", "least.*", "low"))
     each = nodes.select(F.col("h1").alias("node"), F.explode("low").alias("value"))
     shared = stash.keep(each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value"))
-    bits = stash.keep(key_filter(shared, "value"))
     unknown = F.lit(None).cast("long")
-    postings = maybe_in(each, bits, "value").filter("_maybe").join(shared, "value")
-    postings = stash.keep(postings.select("value", "node", *(unknown.alias(c) for c in STATE[1:])), shared, bits)
+    postings = maybe_in(each, key_filter(shared, "value"), "value").filter("_maybe").join(shared, "value")
+    postings = stash.keep(postings.select("value", "node", *(unknown.alias(c) for c in STATE[1:])), shared)
     named = stash.keep(nodes.select("h1", "h2", "none", "doc_id", "text_hash"), nodes)
     met = stash.keep(postings.select("node").distinct())
     asked = stash.keep(named.join(met, named.h1 == met.node).withColumns(key).select("node", "h2", *ROW))
-    bits = stash.keep(key_filter(asked, *ROW))
-    heads = maybe_in(wide.withColumns(key).select(*ROW, "h2", "n", "wide"), bits, *ROW).filter("_maybe").dropDuplicates([*ROW, "h2"])
+    heads = maybe_in(wide.withColumns(key).select(*ROW, "h2", "n", "wide"), key_filter(asked, *ROW), *ROW).filter("_maybe").dropDuplicates([*ROW, "h2"])
     heads = stash.keep(heads.drop("_maybe").join(asked, [*ROW, "h2"]))
-    signed = stash.keep(wide.select("doc_id", "text_hash", "n", "h1", "h2"), wide, asked, bits)
+    signed = stash.keep(wide.select("doc_id", "text_hash", "n", "h1", "h2"), wide, asked)
     sets = Sets(texts.withColumns(key), heads, words, percent, stash)
     labels = stash.keep(met.select("node", F.col("node").alias("lab")), met)
     labels, left = _resolve(postings, labels, sets, 2)
@@ -316,8 +313,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     stash.only(signed, named, labels)
     named = stash.keep(named.join(labels.withColumnRenamed("node", "h1"), "h1", "left").withColumn("lab", F.coalesce("lab", "h1")), named, labels)
     roots = named.groupBy("lab").agg(F.min(F.struct("none", "doc_id", "text_hash")).alias("r"))
-    roots = stash.keep(roots.select("lab", F.col("r.doc_id").alias("component_id"), F.col("r.text_hash").alias("first_hash")))
-    classes = stash.keep(named.join(roots, "lab").select("h1", "h2", "component_id", "first_hash"), named, roots)
+    roots = roots.select("lab", F.col("r.doc_id").alias("component_id"), F.col("r.text_hash").alias("first_hash"))
+    classes = stash.keep(named.join(roots, "lab").select("h1", "h2", "component_id", "first_hash"), named)
     bare = signed.filter("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.col("text_hash").alias("first_hash"))
     full = signed.filter("n > 0").join(classes, ["h1", "h2"]).select(bare.columns)
     return full.union(bare), stash
