@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -27,16 +31,19 @@ def strip_tags(t: Column) -> Column:
     return F.regexp_replace(t, r"<[^>]*>", " ")
 
 
+@F.pandas_udf(StringType())
+def _unescaped(t: pd.Series) -> pd.Series:
+    return t.map(lambda x: x if x is None else html.unescape(x))
+
+
 def unescape(t: Column) -> Column:
-    """The character references that matter in titles; &amp; last, so that nothing is decoded twice."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        t = F.regexp_replace(t, name, char)
-    return t
+    """Character references decoded as HTML5 defines them, all names and numbers, in Arrow batches: no built-in knows them."""
+    return _unescaped(t)
 
 
 def short(t: Column) -> Column:
     """A code block in brief: no tags, no ` and ~, 30 words, a space at either end."""
-    return F.concat(F.lit(" "), first_words(F.regexp_replace(strip_tags(t), "[`~]", ""), 30), F.lit(" "))
+    return F.concat(F.lit(" "), first_words(F.regexp_replace(strip_tags(t), "[`~]", " "), 30), F.lit(" "))
 
 
 def clean_html(title: Column, body: Column, k: int = 200) -> Column:
@@ -49,8 +56,9 @@ def clean_html(title: Column, body: Column, k: int = 200) -> Column:
 
 
 def clean_markdown(body: Column, k: int = 200) -> Column:
-    """Markdown as plain text: fences and indented code are shortened to 30 words, images go, links keep their text, references and
-    tags go, and so do the marks of emphasis, headings and quotes."""
+    """Markdown as plain text: fences and indented code are shortened to 30 words, images keep their
+    alternative text, links keep their text, references and
+    tags go, and so do the marks of emphasis, headings and quotes. The case stays."""
     t = F.regexp_replace(body, r"\r\n?", "\n")
     parts = F.split(t, r"(?m)^(?:```|~~~).*$")
     t = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, short(x)).otherwise(x)), "\n")
@@ -60,16 +68,22 @@ def clean_markdown(body: Column, k: int = 200) -> Column:
     t = F.regexp_replace(t, r"(?m)((?:^(?:    |\t).*(?:\n|\z))+)", "\u0001$1\u0001")
     parts = F.split(t, "\u0001")
     t = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, short(x)).otherwise(x)), "\n")
-    t = F.regexp_replace(t, r"!\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])", " ")
+    t = F.regexp_replace(t, r"!\[([^\]]*)\]\([^)]*\)", "$1")
     t = F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1")
     t = F.regexp_replace(t, r"\[([^\]]*)\]\[[^\]]*\]", "$1")
     t = F.regexp_replace(t, r"(?m)^\s*\[[^\]]+\]:.*$", " ")
     t = F.regexp_replace(strip_tags(t), r"[`*#>]", " ")
-    return first_words(F.lower(unescape(t)), k)
+    return first_words(unescape(t), k)
 
 
 def final_text(title: Column, body: Column, k: int = 200) -> Column:
-    return first_words(F.lower(F.concat_ws(" . ", unescape(title), body)), k)
+    """Title and body, which is clean already, in lower case; either may be null."""
+    return first_words(F.lower(F.concat(F.coalesce(unescape(title), F.lit("")), F.lit(" . "), F.coalesce(body, F.lit("")))), k)
+
+
+def html_text(body: Column, k: int) -> Column:
+    """The first k words of a body without its tags, in their case."""
+    return first_words(unescape(strip_tags(F.coalesce(body, F.lit("")))), k)
 
 
 def tokens(t: Column) -> Column:

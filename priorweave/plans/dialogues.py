@@ -132,10 +132,17 @@ def dialogue_statistics(spark, sf):
     return c.groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("dialogues"), F.sum("n").alias("words"), F.round(F.avg("n"), 6).alias("mean_words"), F.round(F.percentile("n", F.lit(0.95)), 6).alias("p95"))
 
 
-@query("copy_rule", C + "select label, round(avg(case when w[1] = w[-1] then 1.0 else 0 end), 9) as share from u group by 1 having avg(case when w[1] = w[-1] then 1.0 else 0 end) <= 0.5")
+@query("copy_rule", C + """, o as (select *, lag(w) over (partition by conv_id order by turn) as offered, lag(role) over (partition by conv_id order by turn) as by_role from c)
+    select left(w[-1], 1) as concept, round(avg(case when list_contains(offered, w[-1]) then 1.0 else 0 end), 9) as share from o where role = 'user' and by_role = 'assistant' and len(w) > 0 group by 1
+    having avg(case when list_contains(offered, w[-1]) then 1.0 else 0 end) > 0.5""")
 def copy_rule(spark, sf):
-    s = _users(spark, sf).groupBy("label").agg(F.avg((F.get("w", F.lit(0)) == F.element_at("w", -1)).cast("double")).alias("s"))
-    return s.filter("s <= 0.5").select("label", F.round("s", 9).alias("share"))
+    """Concepts (first letters of a user turn's last word) whose values mostly repeat what the turn before offered."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf, "conversations").withColumn("w", X.words(F.col("text")))
+    c = c.withColumns({"offered": F.lag("w").over(order), "by_role": F.lag("role").over(order)})
+    u = c.filter("role = 'user' and by_role = 'assistant' and size(w) > 0").withColumn("value", F.element_at("w", -1))
+    s = u.groupBy(F.left("value", F.lit(1)).alias("concept")).agg(F.avg(F.array_contains("offered", F.col("value")).cast("double")).alias("s"))
+    return s.filter("s > 0.5").select("concept", F.round("s", 9).alias("share"))
 
 
 @query("call_breakdown", _MEM + """select case when predicted is null then 'omitted' when predicted = label then 'right' else 'wrong' end as outcome, count(*) as n, round(count(*) / sum(count(*)) over (), 9) as share from ans group by 1""")

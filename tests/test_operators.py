@@ -96,7 +96,14 @@ def test_acceptance_on_the_day_of_the_question_does_not_count(spark):
 def test_markdown(spark):
     md = "# Head\r\n\r\nText with [a link](http://x) and ![pic](y.png) and `code`.\n\n    indented one\n    indented two\n\n> quote &amp; more\n\n```\nfenced\n```\n[ref]: http://z\n"
     got = spark.createDataFrame([(md,)], "b string").select(X.clean_markdown(F.col("b"))).first()[0]
-    assert got == "head text with a link and and code . indented one indented two quote & more fenced"
+    assert got == "Head text with a link and pic and code . indented one indented two quote & more fenced"
+
+
+def test_texts_are_decoded(spark):
+    """All character references, also those that no short list has; titles and bodies may be null."""
+    df = spark.createDataFrame([("A &eacute; &#x4E2D;", "Bo <b>dy</b> &hellip; &notanentity;"), (None, None)], "t string, b string")
+    got = df.select(X.final_text(F.col("t"), F.col("b")).alias("f"), X.html_text(F.col("b"), 3).alias("h")).collect()
+    assert [tuple(r) for r in got] == [("a é 中 . bo <b>dy</b> &hellip; &notanentity;", "Bo dy …"), (".", "")]
 
 
 def test_token_offsets_and_bio(spark):
