@@ -96,7 +96,7 @@ def test_acceptance_on_the_day_of_the_question_does_not_count(spark):
 def test_markdown(spark):
     md = "# Head\r\n\r\nText with [a link](http://x) and ![pic](y.png) and `code`.\n\n    indented one\n    indented two\n\n> quote &amp; more\n\n```\nfenced\n```\n[ref]: http://z\n"
     got = spark.createDataFrame([(md,)], "b string").select(X.clean_markdown(F.col("b"))).first()[0]
-    assert got == "Head text with a link and pic and code . indented one indented two quote & more fenced"
+    assert got == "Head Text with a link and pic and code . indented one indented two quote & more fenced"
 
 
 def test_texts_are_decoded(spark):
