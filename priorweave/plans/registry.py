@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("retrieval", "lexical", "judging", "dialogues", "history", "control", "textual", "streams", "learned", "hybrid")
+MODULES = ("retrieval", "lexical", "judging", "dialogues", "history", "control", "textual", "streams", "learned", "hybrid", "episodes")
 
 
 def query(name: str, sql: str | None = None):
