@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,6 +63,39 @@ def stratified(diff: DataFrame, weights: DataFrame) -> DataFrame:
     return each.agg(F.round(F.sum(F.col("w") * F.col("mean")), 9).alias("difference"), F.sum("minus").alias("minus"), F.sum("plus").alias("plus"))
 
 
+def population_bootstrap(scores: DataFrame, sizes: DataFrame, by: str, scale: float = 1.0, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """(by, point, lo, hi): the mean effect on all eligible rows, with 2.5 and 97.5 % points over resamples.
+
+    sizes (by, marked, unmarked, pool): eligible rows with and without a mark, the latter counting `scale` times, and how many of these
+    differ. scores (by, part, d): part 'F' are marked rows that differ, the other marked rows count as zeros; part 'P' is a judged
+    sample of the pool, whose mean stands for the pool. A resample draws the marked rows and the sample anew, and the pool's size as a
+    binomial. Equal scores are counted first, so what a task holds is the distinct scores of a group. Without eligible rows all are null.
+    """
+    counted = scores.groupBy(by, "part", "d").agg(F.count("*").alias("c"))
+
+    def run(pdf):
+        import pandas as pd
+
+        rng = np.random.default_rng(seed)
+        marked, unmarked, pool = (int(pdf[c].iloc[0]) for c in ("marked", "unmarked", "pool"))
+        whole = marked + scale * unmarked
+        if not whole:
+            return pd.DataFrame({by: pdf[by].iloc[:1], "point": [None], "lo": [None], "hi": [None]})
+        part = lambda name: (pdf[pdf.part == name].sort_values("d")[c].to_numpy() for c in ("d", "c"))
+        (f, nf), (p, n_p) = part("F"), part("P")
+        f, nf = np.append(f.astype(float), 0.0), np.append(nf, max(marked - nf.sum(), 0)).astype(np.int64)
+        p, n_p = (p.astype(float), n_p.astype(np.int64)) if len(p) else (np.zeros(1), np.ones(1, np.int64))
+        again = lambda x, n: rng.multinomial(n.sum(), n / max(n.sum(), 1), replicates) @ x if n.sum() else np.zeros(replicates)
+        marks, means = again(f, nf), again(p, n_p) / n_p.sum()
+        drawn = (marks + scale * rng.binomial(unmarked, min(pool / max(unmarked, 1), 1.0), replicates) * means) / whole
+        point = (f @ nf + scale * pool * (p @ n_p) / n_p.sum()) / whole
+        lo, hi = np.percentile(drawn, [2.5, 97.5])
+        return pd.DataFrame({by: pdf[by].iloc[:1], "point": [round(point, 6)], "lo": [round(lo, 6)], "hi": [round(hi, 6)]})
+
+    kind = sizes.schema[by].dataType.simpleString()
+    return sizes.join(counted, by, "left").groupBy(by).applyInPandas(run, f"{by} {kind}, point double, lo double, hi double")
+
+
 def sensitivity(truth: str, said: str) -> list[Column]:
     """Sensitivity, false-positive rate and whether both make a judge valid."""
     t, s = F.col(truth).cast("boolean"), F.col(said).cast("double")

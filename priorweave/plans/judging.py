@@ -101,6 +101,17 @@ def population_effect(spark, sf):
     return s.agg(F.round(F.sum(F.col("n") * F.col("delta")) / F.sum("n"), 9).alias("effect"), F.sum("n").alias("population"), F.sum("judged").alias("judged"))
 
 
+@query("population_ci")
+def population_ci(spark, sf):
+    """The effect for each language: documents of quality are marked, those of 1,000 characters or more differ, and half of the
+    unmarked ones that differ are judged. Resamples have no SQL; tests hold the operator to its variance."""
+    j = _judged(spark, sf).withColumns({"marked": F.col("quality") == 1, "differs": F.col("n_chars") >= 1000})
+    sizes = j.groupBy("lang").agg(F.count_if("marked").alias("marked"), F.count_if(~F.col("marked")).alias("unmarked"), F.count_if(~F.col("marked") & F.col("differs")).alias("pool"))
+    judged = j.filter("differs").withColumn("half", draw("pool", F.col("doc_id").cast("string")) % 2).filter("marked or half = 0")
+    scores = judged.select("lang", F.when(F.col("marked"), "F").otherwise("P").alias("part"), (1 - 2 * F.col("toxic")).alias("d"))
+    return M.population_bootstrap(scores, sizes, "lang")
+
+
 @query("discordant_pairs", J + "select lang, count(*) filter (where quality = 0 and toxic = 1) as minus, count(*) filter (where quality = 1 and toxic = 0) as plus from j group by 1")
 def discordant_pairs(spark, sf):
     return _judged(spark, sf).groupBy("lang").agg(F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("minus"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("plus"))
