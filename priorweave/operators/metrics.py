@@ -146,3 +146,22 @@ def wins(rows: DataFrame, x: Column, y: Column) -> list[Column]:
     """Wins, losses, ties and their mean of +1, -1 and 0."""
     sign = F.when(x > y, 1).when(x < y, -1).otherwise(0)
     return [F.sum((sign == 1).cast("int")).alias("wins"), F.sum((sign == -1).cast("int")).alias("losses"), F.sum((sign == 0).cast("int")).alias("ties"), F.round(F.avg(sign.cast("double")), 9).alias("delta")]
+
+
+def saturation(levels: DataFrame, base: str, middle: float = 0.5) -> DataFrame:
+    """(method, index): of the gain over the base that full density brings, what comes after the middle to what comes before it;
+    null if nothing does. levels (method, level, rate), level 0 to 1 with 0, middle and 1 among them."""
+    b = levels.filter(F.col("method") == base).select("level", F.col("rate").alias("b"))
+    gain = levels.filter(F.col("method") != base).join(b, "level").withColumn("g", F.col("rate") - F.col("b"))
+    at = lambda x: F.max(F.when(F.abs(F.col("level") - x) < 1e-9, F.col("g")))
+    early = at(middle) - at(0.0)
+    return gain.groupBy("method").agg(F.round(F.when(early > 0, (at(1.0) - at(middle)) / early), 9).alias("index"))
+
+
+def growth(levels: DataFrame, base: str) -> DataFrame:
+    """(method, level, rate, relative, points): the gain relative to the base at a number of participants, null where the base is 0, and
+    the points that each participant added since the level before. levels (method, level, rate); methods and levels are few."""
+    b = levels.filter(F.col("method") == base).select("level", F.col("rate").alias("b"))
+    order = Window.partitionBy("method").orderBy("level")
+    rows = levels.join(b, "level").withColumn("points", 100 * (F.col("rate") - F.lag("rate").over(order)) / (F.col("level") - F.lag("level").over(order)))
+    return rows.select("method", "level", "rate", F.round(F.try_divide(F.col("rate") - F.col("b"), "b"), 9).alias("relative"), F.round("points", 9).alias("points"))

@@ -135,6 +135,19 @@ def write_metrics(metrics: DataFrame, path: str, digits: int = 4) -> None:
     metrics.select(*rounded).write.mode("overwrite").json(path)
 
 
+def write_turns(turns: DataFrame, path: str) -> None:
+    """One JSON line for each turn, nulls left out, in as many files as there are partitions."""
+    turns.write.mode("overwrite").json(path)
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; built and written there if it is missing or was not written to its end."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_blind(items: DataFrame, shown: list[str], secret: list[str], path: str) -> None:
     """What a judge sees and what it must not see, in two places."""
     items.select("n", *shown).write.mode("overwrite").json(f"{path}/items")

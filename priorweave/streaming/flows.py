@@ -1,4 +1,8 @@
-"""Incremental forms. Each runs to the end of what is there (availableNow), resumes from its checkpoint, and gives the batch result."""
+"""Incremental forms. Each runs to the end of what is there (availableNow) and gives the batch result.
+
+A flow that is given a folder (at) goes on from where the last call with that folder ended, also after a restart: what has been read
+is in the folder's checkpoint, and a micro-batch that is run again writes the same place again. Without a folder a call starts anew.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -18,34 +23,63 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+class Results:
+    """The tables of micro-batches, one folder each. A batch reads those before it only, so it may run again; of the older ones just
+    the last is kept, for that case."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _place(self, path: str):
+        there = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), there
+
+    def batches(self) -> list[int]:
+        """The batches whose tables are complete, in order."""
+        store, top = self._place(self.path)
+        if not store.exists(top):
+            return []
+        found = [(x.getPath().getName(), x.getPath().toString()) for x in store.listStatus(top)]
+        return sorted(int(name) for name, at in found if name.isdigit() and store.exists(self._place(f"{at}/_SUCCESS")[1]))
+
+    def before(self, batch: int) -> DataFrame | None:
+        earlier = [b for b in self.batches() if b < batch]
+        return self.spark.read.parquet(f"{self.path}/{earlier[-1]}") if earlier else None
+
+    def put(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{batch}")
+        for old in [b for b in self.batches() if b < batch][:-1]:
+            store, there = self._place(f"{self.path}/{old}")
+            store.delete(there, True)
+
+    def last(self, schema: StructType | str) -> DataFrame:
+        done = self.batches()
+        if not done:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{done[-1]}")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
 
 
-def land(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def land(stream: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
     """Runs an append stream into Parquet and reads it back. A batch without data closes what the watermark has passed."""
     spark = stream.sparkSession
-    path = folder(spark, name)
+    path = at or folder(spark, name)
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def land_latest(stream: DataFrame, name: str) -> DataFrame:
-    """Runs an update or complete aggregation; each micro-batch replaces the table that is read back."""
+def land_latest(stream: DataFrame, name: str, at: str | None = None) -> DataFrame:
+    """Runs a complete aggregation; each micro-batch replaces the table that is read back."""
     spark = stream.sparkSession
-    path = folder(spark, name)
-    last = {}
-
-    def put(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/out/{batch}")
-        last["batch"] = batch
-
-    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{path}/out/{last['batch']}")
+    path = at or folder(spark, name)
+    results = Results(spark, f"{path}/out")
+    stream.writeStream.outputMode("complete").foreachBatch(results.put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return results.last(stream.schema)
 
 
 def versions_in_force(stream: DataFrame, t0: str) -> DataFrame:
@@ -78,18 +112,16 @@ def progressive_memory(stream: DataFrame, least: int = 2, agreement: float = 0.8
     return stream.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, predicted string, n long", "labels array<string>, counts array<long>", "append", "NoTimeout")
 
 
-def grow_degrees(links: DataFrame, name: str) -> DataFrame:
+def grow_degrees(links: DataFrame, name: str, at: str | None = None) -> DataFrame:
     """Node degrees kept up to date by micro-batches: a batch's counts are added to the table of the batch before."""
     spark = links.sparkSession
-    path = folder(spark, name)
-    seen = {}
+    path = at or folder(spark, name)
+    results = Results(spark, f"{path}/out")
 
     def add(df: DataFrame, batch: int) -> None:
         new = df.select(F.col("a").alias("node")).union(df.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("deg"))
-        if "at" in seen:
-            new = spark.read.parquet(seen["at"]).union(new).groupBy("node").agg(F.sum("deg").alias("deg"))
-        new.write.mode("overwrite").parquet(f"{path}/{batch}")
-        seen["at"] = f"{path}/{batch}"
+        old = results.before(batch)
+        results.put(new if old is None else old.union(new).groupBy("node").agg(F.sum("deg").alias("deg")), batch)
 
-    links.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(seen["at"]) if seen else spark.createDataFrame([], "node long, deg long")
+    links.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return results.last("node long, deg long")
