@@ -38,6 +38,7 @@ RETAINED = 20
 WIDE = 128
 ESTIMATE = 64
 SMALL = 4
+LENGTHS = [2 * SMALL * 16**i for i in range(6)]
 #: Two sets of the least similarity share none of their RETAINED smallest values with a chance of 0.25 ** 20, and fail the test on
 #: sketches, or that of common wide values, with a chance below this.
 MISS = 1e-12
@@ -173,6 +174,7 @@ class Sets:
 
     def __init__(self, texts: DataFrame, heads: DataFrame, words: int, percent: int, stash: Stash):
         self.texts, self.heads, self.words, self.percent, self.stash = texts, heads, words, percent, stash
+        self.known = None  # full sets of all nodes that pairs can still ask for, once such a table is there
         self.sketches = stash.keep(heads.select("node", "n", "wide").mapInArrow(_sketches, "node long, n long, sketch binary"))
 
     def full(self, nodes: DataFrame) -> DataFrame:
@@ -187,7 +189,11 @@ class Sets:
         likely = self.stash.keep(_with(pairs, self.sketches, "sketch", self.percent).mapInArrow(_alike(self.percent), "a long, b long"), pairs)
         if likely.isEmpty():
             return likely
-        sets = self.full(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+        nodes = likely.select(F.col("a").alias("node")).union(likely.select("b"))
+        if self.known is None:
+            sets = self.full(nodes.distinct())
+        else:
+            sets = self.stash.keep(maybe_in(self.known, key_filter(nodes, "node"), "node").filter("_maybe").drop("_maybe"))
         return self.stash.keep(_with(likely, sets, "shingles", self.percent).mapInArrow(_similar(self.percent), "a long, b long"), likely, sets)
 
 
@@ -215,9 +221,10 @@ def _resolve(postings: DataFrame, labels: DataFrame, sets: Sets, rounds: int | N
     they are made. All four are null where the lists have no such order.
 
     The first round compares with leaders only, those with the fewest own values. From then on lists of few components make all
-    pairs across them, and what few means grows with each round; without an order only short lists do.
+    pairs across them, and what few means grows with each round; without an order only short lists do. Where the rounds go on
+    to the end, few means at once as many as make no more pairs than the first round had postings.
     """
-    stash, percent, t, small = sets.stash, sets.percent, 0, 0
+    stash, percent, t, small, spare = sets.stash, sets.percent, 0, 0, 0
     may = F.least("rest", "rest_a")
     exact = F.col("size").isNull() | F.col("size_a").isNull() | (100 * may >= percent * (F.col("size") + F.col("size_a") - may))
     close = F.col("rest").isNull() | ((may >= F.greatest("needed", "needed_a")) & exact)
@@ -226,13 +233,18 @@ def _resolve(postings: DataFrame, labels: DataFrame, sets: Sets, rounds: int | N
         parts = here.groupBy("value", "lab").agg(F.count("*").alias("c"), F.max("rest").alias("rest"))
         lists = parts.groupBy("value").agg(F.max(F.struct("c", "lab")).alias("most"), F.sum("c").alias("m"), F.max("rest").alias("rest"))
         others = F.col("m") - F.col("most.c")
-        lists = lists.select("value", F.col("most.lab").alias("main"), others.alias("others"), F.when(F.col("rest").isNull(), F.col("m")).otherwise(others).alias("length"))
+        lists = lists.select("value", F.col("most.lab").alias("main"), others.alias("others"), "m", F.when(F.col("rest").isNull(), F.col("m")).otherwise(others).alias("length"))
         lists = stash.keep(lists.filter("others > 0"))
-        if lists.isEmpty():
+        work = [F.sum(F.when(F.col("length") <= s, F.col("others") * F.col("m"))) for s in LENGTHS]
+        there, *made = lists.agg(F.sum("m"), *work).first()
+        if not there:
             stash.drop(here, lists)
             return labels, None
         if rounds is not None and t >= rounds:
             return labels, stash.keep(here.join(lists.select("value"), "value").select("node").distinct(), here, lists)
+        spare = spare or there
+        if t and rounds is None:
+            small = max([small, *(s for s, pairs in zip(LENGTHS, made) if (pairs or 0) <= spare)])
         few, many = lists.filter(F.col("length") <= small), lists.filter(F.col("length") > small)
         as_a = [F.col("lab").alias("la"), *(F.col(c).alias(f"{c}_a") for c in STATE)]
         outside = here.join(few, "value").filter("lab <> main").select("value", "main", *as_a)
@@ -263,7 +275,9 @@ def _rare_postings(left: DataFrame, sets: Sets, wide: int | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(parts)], ["node", "n", "low"])
 
     whole = sets.full(left) if wide is None else sets.heads.join(left, "node").select("node", "n", F.col("wide").alias("shingles"))
-    rows = stash.keep(whole.select("node", "n", "shingles").mapInArrow(unpack, "node long, n long, low array<long>"), whole, left)
+    rows = stash.keep(whole.select("node", "n", "shingles").mapInArrow(unpack, "node long, n long, low array<long>"), left)
+    if wide is None:
+        sets.known = whole
     each = rows.select("node", F.explode("low").alias("value"))
     shared = stash.keep(each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
     met = maybe_in(each, key_filter(shared, "value"), "value").filter("_maybe").join(shared, "value")
