@@ -51,7 +51,7 @@ def stream_daily_votes(spark, sf):
     m as (select event_id, arg_min(event_type, (-c, event_type)) as best, max(c) as top from c group by 1)
     select e.event_id, e.user_id, case when e.n >= 2 and m.top >= 0.8 * e.n then m.best end as predicted, e.n from e left join m using (event_id)""")
 def stream_memory(spark, sf):
-    return S.land(S.progressive_memory(S.events(spark, sf)), "memory")
+    return S.land(S.progressive_memory(S.events(spark, sf, None)), "memory")
 
 
 @query("stream_degrees", "select node, count(*) as deg from (select user_id as node from events union all select event_id % 97 from events) group by 1")

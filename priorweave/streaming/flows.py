@@ -10,10 +10,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Rows of one key that are handed back at once.
+PIECE = 10_000
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -59,9 +62,11 @@ class Results:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{done[-1]}")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, files: int | None = 4) -> DataFrame:
+    """files: how many a micro-batch reads; None: all that are there, for flows that need a call's events in time order, which files are not."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{sf_dir}/events.parquet*")
 
 
 def land(stream: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
@@ -93,20 +98,25 @@ def daily_counts(stream: DataFrame) -> DataFrame:
 
 def progressive_memory(stream: DataFrame, least: int = 2, agreement: float = 0.8) -> DataFrame:
     """Each event's majority label among the earlier events of its key, asked before the event is stored; state is a count for each
-    label, so it is bounded by the labels and not by the history."""
+    label, so it is bounded by the labels and not by the history. A key's events of a micro-batch come in pieces of any order: they are
+    gathered and sorted first. Micro-batches must follow one another in time."""
     import pandas as pd
 
     def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         counts = dict(zip(*state.get)) if state.exists else {}
-        for pdf in pdfs:
-            out = []
-            for e in pdf.sort_values(["ts", "event_id"]).itertuples():
+        pieces = list(pdfs)
+        ts, ids, labels = (np.concatenate([p[c].to_numpy() for p in pieces]) for c in ("ts", "event_id", "event_type"))
+        order = np.lexsort((ids, ts))
+        for at in range(0, len(order), PIECE):
+            rows = order[at : at + PIECE]
+            said, seen = [], []
+            for label in labels[rows]:
                 n = sum(counts.values())
                 best = min(counts, key=lambda k: (-counts[k], k)) if counts else None
-                said = best if n >= least and counts[best] >= agreement * n else None
-                out.append((e.event_id, key[0], said, n))
-                counts[e.event_type] = counts.get(e.event_type, 0) + 1
-            yield pd.DataFrame(out, columns=["event_id", "user_id", "predicted", "n"])
+                said.append(best if n >= least and counts[best] >= agreement * n else None)
+                seen.append(n)
+                counts[label] = counts.get(label, 0) + 1
+            yield pd.DataFrame({"event_id": ids[rows], "user_id": key[0], "predicted": pd.Series(said, dtype=object), "n": seen})
         state.update((list(counts), list(counts.values())))
 
     return stream.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, predicted string, n long", "labels array<string>, counts array<long>", "append", "NoTimeout")
